@@ -28,6 +28,18 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.licenses import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.pii import span_digest
+
+    return span_digest(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 OP1_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -55,6 +67,8 @@ FROM cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op8_pii": op8_pii,
 }
 
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
