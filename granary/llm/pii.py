@@ -153,7 +153,8 @@ def span_digest(docs: DataFrame) -> DataFrame:
     """
     found = docs.select(F.col("doc_id"), pii_spans(F.col("text")).alias("s"))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in BASE_KINDS]
     base = F.filter("s", lambda x: x["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("s")).alias("spans"))
 
