@@ -40,6 +40,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from granary.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 OP1_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_license_scan": op3_license_scan,
     "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
