@@ -49,6 +49,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.toxicity import score_documents
+
+    return score_documents(_docs(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 OP1_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
