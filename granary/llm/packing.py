@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -25,14 +26,36 @@ SMALL_PARTS = 4
 GROUPS = 512
 #: Words whose ids a worker keeps, and the share of a batch's words that may be new before a full store is begun anew.
 _CACHE, _STALE = 400_000, 0.3
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space to Python, but not to the tokenizer.
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
+def _latin(text: str) -> bool:
+    """Whether lower-casing a text is the same to Python and to the tokenizer."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+
+
+
 #: How byte-level tokenizers write bytes that aren't printable: as the characters from 256 on, in their order.
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
+def _holes(found: list) -> list[int]:
+    """Where a list holds None, by the list's own search."""
+    at, out, n = -1, [], found.count(None)
+    for _ in range(n):
+        at = found.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 class WordEncoder:
     """Ids of texts by a lower-casing tokenizer whose pieces never cross white space, word by word, frequent words from a store.
 
@@ -80,13 +103,13 @@ class WordEncoder:
         return made
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.split() if _BEYOND_LATIN.search(t) else t.lower().split() for t in texts]
+        split = [t.lower().split() if _latin(t) else t.split() for t in texts]
         found = [[*map(self.known.get, words)] for words in split]
-        holes = [[k for k, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        holes = [_holes(f) for f in found]
         new = [words[k] for words, gaps in zip(split, holes, strict=True) for k in gaps]
         made = self._new(new, sum(map(len, split))) if new else {}
         for text, words, ids, gaps in zip(texts, split, found, holes, strict=True):
-            if _ODD_SPACE.search(text):
+            if any(c in text for c in _ODD_SPACE):
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
                 continue
             for k in gaps:
@@ -97,7 +120,10 @@ class WordEncoder:
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(path)
-        for pdf in batches:
+        gc.disable()  # its rounds over the store and the lists of words would take longer than what they find is worth
+        for n, pdf in enumerate(batches, 1):
+            if n % 16 == 0:
+                gc.collect()
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
             texts = ["" if t is None else t for t in pdf["text"]]
             encoded = (ids for a, b in slices(texts) for ids in encoder.texts(texts[a:b]))
