@@ -25,8 +25,10 @@ SKETCHES = 4
 REACH, DECAY = 7, 0.6
 #: Letters of a word seen at once; longer ones are seen in windows that overlap by half.
 WIDTH = 14
-#: exp(-EVIDENCE) bounds the chance that a word tied to no class would be counted as telling.
-EVIDENCE = 12.0
+#: Beginnings of words, of so many letters, are counted like words: rare forms of one stem tell together.
+STEMS = (4, 5)
+#: Bounds how many words or stems that are tied to no class are expected among the telling ones.
+CHANCE = 0.1
 _STORE = 300_000
 _DIM = 1 << 15
 
@@ -250,7 +252,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
             tokens = set((text or "").lower().split())
-            counts[bool(toxic)].update({f for t in tokens for f in forms(t) if 3 <= len(f) <= WIDTH})
+            words = {f for t in tokens for f in forms(t) if 3 <= len(f) <= WIDTH}
+            counts[bool(toxic)].update(words | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n})
         if len(counts[True]) + len(counts[False]) > 200_000:
             yield out()
     yield out()
@@ -260,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); without toxic or without clean labelled documents it scores all alike.
 
     Labels are of documents, so words are the sentences here: words that occur in toxic documents far more often than chance
-    allows are positive, words of clean documents negative, among these the ones a first fit ranks highest. A document's value
+    allows are positive, as are words of a stem that does, words of clean documents negative, among these the ones a first fit ranks highest. A document's value
     is that of its worst word; a logistic fit on the training documents turns it into a probability. What reaches the driver
     is bounded by the parameters above.
     """
@@ -277,9 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = F.col("pos") / n
     # Chernoff's bound on so large a share of a word's documents being toxic by chance
     surprise = n * (share * F.log(share / rate) + (1 - share) * F.log((1 - share + 1e-12) / (1 - rate)))
-    telling = words.where(F.col("pos") >= 3).where((share > 5 * rate) | (share > 0.9)).where((share > rate) & (surprise >= EVIDENCE))
-    positive = [r["word"] for r in telling.orderBy(F.desc("pos"), "word").limit(SEEDS).collect()]
-    clean = words.where("neg > 0 and neg * 10 > pos")
+    often = words.where("pos >= 3")
+    evidence = float(np.log(max(1, often.count()) / CHANCE))
+    telling = often.where((share > rate) & ((share > 5 * rate) | (share > 0.9)) & (surprise >= evidence)).select("word", "pos")
+    stems = telling.where(F.col("word").startswith("^")).orderBy(F.desc("pos"), "word").limit(SEEDS).select(F.substring("word", 2, 9).alias("stem"))
+    held = [F.substring("word", 1, n).alias("stem") for n in STEMS]
+    alike = words.where("pos > 0 and neg = 0 and not startswith(word, '^')")
+    alike = alike.select("word", "pos", F.explode(F.array(*held)).alias("stem")).join(F.broadcast(stems), "stem", "left_semi").select("word", "pos")
+    found = telling.where(~F.col("word").startswith("^")).union(alike).distinct()
+    positive = [r["word"] for r in found.orderBy(F.desc("pos"), "word").limit(SEEDS).collect()]
+    clean = words.where("neg > 0 and neg * 10 > pos and not startswith(word, '^')")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).collect()]
     if not positive or not negative:
         return Model(np.zeros(_DIM), 0.0, 0.0, float(np.log(rate / (1 - rate))))
