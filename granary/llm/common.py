@@ -125,7 +125,7 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def slices(texts: list, limit: int = 4_000_000):
+def slices(texts: list, limit: int = 1_000_000):
     """Ranges of consecutive texts of about ``limit`` characters; a longer text stands alone."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -34,6 +34,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.minhash import near_documents
+
+    return near_documents(_docs(spark, sf_dir, "doc_id", "text"), 85)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.pii import span_digest
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_license_scan": op3_license_scan,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
