@@ -207,7 +207,6 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = stage(_blocks(sets, percent).mapInPandas(_compare(percent), "u long, v long"), "mh-links")
     found = components(links)
     named = classes.join(found, "id", "left").select(F.col("n").alias("k"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component_id", "id").alias("component"))
-    named = named.groupBy("k", "k1", "k2").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n", "c1", "c2").join(named, (F.col("n") == F.col("k")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
