@@ -9,6 +9,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -117,9 +118,15 @@ class WordEncoder:
             yield np.frombuffer(b"".join(ids), dtype=f"<{'u2' if self.kind == 'H' else 'u4'}").astype("<u4")
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder, which outlives its tasks: loading a tokenizer and filling a store take seconds."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         gc.disable()  # its rounds over the store and the lists of words would take longer than what they find is worth
         for n, pdf in enumerate(batches, 1):
             if n % 16 == 0:
