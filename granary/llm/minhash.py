@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from granary.llm.common import hashed_words, mix, partitions, slices, stage, tune, utf8
 from granary.llm.components import components
 
-#: Words of a shingle, coordinates of a signature, and coordinates that must agree. At a Jaccard similarity of 0.85 a pair
-#: agrees in 54 of 64 coordinates on average and in under 42 with a probability of about 1e-5.
-SHINGLE, COORDINATES, MATCHES = 5, 64, 42
+#: Words of a shingle and coordinates of a signature.
+SHINGLE, COORDINATES = 5, 64
+#: The most that the chance of a pair at the similarity asked for may be to agree in fewer coordinates than are demanded.
+MISS = 1e-5
 #: Documents of one side that one task compares.
 SIDE = 128
 _BROADCAST_ROWS = 500_000
@@ -56,6 +57,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def matches(percent: int) -> int:
+    """Coordinates that must agree: as many as pairs of this similarity miss with a probability of MISS at most (a binomial tail)."""
+    p, tail, m = percent / 100, 0.0, 0
+    while True:
+        tail += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail > MISS:
+            return max(1, m)
+        m += 1
+
+
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
     """Two sums over a set, which name it."""
     a, b = mix(shingles), mix(shingles ^ _Q)
@@ -119,10 +130,10 @@ def confirmed(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> l
     right = left if right is None else right
     sig_l, sig_r = (np.frombuffer(b"".join(d["sig"]), dtype="<u4").reshape(-1, COORDINATES) for d in (left, right))
     n_l, n_r, id_l, id_r = left["n"].to_numpy(), right["n"].to_numpy(), left["id"].tolist(), right["id"].tolist()
-    pairs = []
+    pairs, least = [], matches(percent)
     for i in range(len(left)):
         agree = (sig_r == sig_l[i]).sum(axis=1)
-        fits = (agree >= MATCHES) & (100 * np.minimum(n_r, n_l[i]) >= percent * np.maximum(n_r, n_l[i]))
+        fits = (agree >= least) & (100 * np.minimum(n_r, n_l[i]) >= percent * np.maximum(n_r, n_l[i]))
         if same:
             fits[: i + 1] = False
         j = np.flatnonzero(fits)
@@ -175,7 +186,7 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     A document's set holds its distinct shingles of five words, A-Z lower-cased; documents link where
     100 * intersection >= ``percent`` * union. Signatures are joined through an inverted table of (coordinate, value): values
     that only one document has are skipped, and by the prefix principle a document is posted under its rarest
-    ``count - MATCHES + 1`` values alone, since two documents that agree in MATCHES values share one of these. Documents that
+    ``count - m + 1`` values alone, since two documents that agree in m values (see ``matches``) share one of these. Documents that
     postings connect form groups, inside which agreements are counted, blocks of far sizes skipped, and pairs above the match
     threshold confirmed on whole sets. Equal sets are one document here and stand in one component.
 
@@ -196,8 +207,9 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     posts = stage(posts, "mh-posts")
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     shared = posts.join(often, "key").groupBy("id").agg(F.collect_list(F.struct("freq", "key")).alias("found"))
-    shared = shared.where(F.size("found") >= MATCHES)
-    prefix = stage(shared.select("id", F.explode(F.slice(F.sort_array("found"), 1, F.size("found") - MATCHES + 1)).alias("p")).select("id", F.col("p.key").alias("key")), "mh-prefix")
+    least = matches(percent)
+    shared = shared.where(F.size("found") >= least)
+    prefix = stage(shared.select("id", F.explode(F.slice(F.sort_array("found"), 1, F.size("found") - least + 1)).alias("p")).select("id", F.col("p.key").alias("key")), "mh-prefix")
     met = prefix.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     groups = components(prefix.join(met, "key").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
     members = stage(groups.select("id", F.col("component_id").alias("group")).join(classes.select("id", "n", "c1", "c2"), "id"), "mh-members")

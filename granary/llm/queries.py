@@ -34,12 +34,30 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.suffixes import passage_digest, repeated_passages
+
+    return passage_digest(repeated_passages(_docs(spark, sf_dir, "doc_id", "text")))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.minhash import near_documents
 
     return near_documents(_docs(spark, sf_dir, "doc_id", "text"), 85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.quality import score_quality
+
+    return score_quality(_docs(spark, sf_dir, "doc_id", "text"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.pii import span_digest
 
@@ -89,7 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
