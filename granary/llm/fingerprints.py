@@ -117,7 +117,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     in the order of their texts. One document alone follows itself. An empty table gives no rows. Other columns are ignored.
     """
     rows = with_edits(docs)
-    both = rows.select("range", "pos", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("x")), F.struct(F.lit(1), F.col("edited")))).alias("v"))
+    both = rows.select("range", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(c, F.lit("")).alias("x")) for k, c in enumerate(("text", "edited"))])).alias("v"))
     words = both.select("range", "pos", F.col("v.which").alias("which"), F.explode(F.split(F.col("v.x"), SPACE)).alias("word")).where("word <> ''")
     terms = words.groupBy("range", "pos", "which", F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     prints = weighted_samples(terms, ["range", "pos", "which"], samples)
