@@ -87,6 +87,15 @@ def id_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     return named.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("below") + F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))))).drop("cell", "below", "cuts")
 
 
+def _heads(ranged: DataFrame) -> DataFrame:
+    """(range, text) of the first document of each range, without a shuffle of texts: first its id, then the text of that id."""
+    ids = F.broadcast(ranged.where("doc_id is not null").groupBy("range").agg(F.max("doc_id").alias("doc_id")).drop("range"))  # a row a range
+    first = W.partitionBy("range").orderBy("text")
+    named = ranged.join(ids, "doc_id", "left_semi").select("range", "text").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    nameless = ranged.where("doc_id is null").agg(F.min("text").alias("text")).where("text is not null").select(F.lit(-1).alias("range"), "text")
+    return named.union(nameless)
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """(range, pos, doc_id, text, edited): a document and its text with the last half replaced by the start of the next one's.
 
@@ -97,7 +106,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     ranged = id_ranges(plain, RANGES * partitions(docs.sparkSession))
     order = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     rows = ranged.withColumn("pos", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    heads = stage(rows.where("pos = 1").select("range", "text"), "fp-heads")
+    heads = stage(_heads(ranged), "fp-heads")
     # one row a range: the range above takes this one's head; the lowest takes that of the highest
     above = F.lead("range").over(W.orderBy("range"))
     takers = heads.select(F.coalesce(above, F.min("range").over(W.partitionBy())).alias("taker"), F.col("text").alias("head"))
