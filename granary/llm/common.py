@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -88,7 +89,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("p", ())) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 19)
         _tables["p"], _tables["i"] = _powers(m, _P), _powers(m, _U(_inv))
     return _tables["p"][:n], _tables["i"][:n]
 
@@ -120,19 +121,30 @@ def hashed_words(texts: list[bytes], cut: np.ndarray = SPACE_CUT) -> tuple[np.nd
     return words, np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and large arrays leave holes behind."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; a null is empty and lone surrogates are replaced."""
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def slices(texts: list, limit: int = 1_000_000):
+def slices(texts: list, limit: int = 300_000):
     """Ranges of consecutive texts of about ``limit`` characters; a longer text stands alone."""
-    start = total = 0
+    start = total = total_seen = 0
     for i, t in enumerate(texts):
         n = len(t) + 1
+        total_seen += n
         if total and total + n > limit:
             yield start, i
             start, total = i, 0
         total += n
     if start < len(texts):
         yield start, len(texts)
+    if total_seen > 8 * limit:
+        give_back()

@@ -10,9 +10,15 @@ from granary.llm.common import stage, unstage
 
 def _shuffled_key(c):
     """A bijection of longs by shifts, so that the least key of a neighbourhood is a random node of it."""
-    c = c.bitwiseXOR(F.shiftleft(c, 13))
-    c = c.bitwiseXOR(F.shiftrightunsigned(c, 7))
-    return c.bitwiseXOR(F.shiftleft(c, 17))
+    for _ in range(3):  # low bits of neighbouring ids must reach the high ones
+        c = c.bitwiseXOR(F.shiftleft(c, 13))
+        c = c.bitwiseXOR(F.shiftrightunsigned(c, 7))
+        c = c.bitwiseXOR(F.shiftleft(c, 17))
+    return c
+
+
+#: Rounds after which the nodes' pointers are written down, so that plans stay short.
+_ROUNDS = 4
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -27,6 +33,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     ids = stage(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "cc-ids")
     e = stage(e.select(_shuffled_key(F.col("a")).alias("a"), _shuffled_key(F.col("b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     root = ids.select("id", _shuffled_key(F.col("id")).alias("k"))
+    done = 0
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         to = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-map")
@@ -36,6 +43,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         e = stage(e.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
         unstage(last)
         root = root.join(to.select(F.col("a").alias("k"), "m"), "k", "left").select("id", F.coalesce("m", "k").alias("k"))
+        done += 1
+        if done % _ROUNDS == 0:
+            root = stage(root, "cc-roots")
     root = stage(root, "cc-roots")
     least = root.groupBy("k").agg(F.min("id").alias("component_id"))
     return root.join(least, "k").select("id", "component_id")

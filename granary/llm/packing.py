@@ -133,7 +133,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 gc.collect()
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
             texts = ["" if t is None else t for t in pdf["text"]]
-            encoded = (ids for a, b in slices(texts) for ids in encoder.texts(texts[a:b]))
+            encoded = (ids for a, b in slices(texts, 1_000_000) for ids in encoder.texts(texts[a:b]))
             for doc_id, ids in zip(pdf["doc_id"], encoded, strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):

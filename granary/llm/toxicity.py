@@ -318,7 +318,7 @@ def toxic_value(text: Column, weights: np.ndarray) -> Column:
         scorer = Scorer(weights)
         for texts in batches:
             whole = ["" if t is None else t for t in texts]
-            yield pd.Series([v for a, b in slices(whole) for v in scorer.texts(whole[a:b])], dtype=float)
+            yield pd.Series([v for a, b in slices(whole, 1_000_000) for v in scorer.texts(whole[a:b])], dtype=float)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")(text)
