@@ -256,7 +256,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts[bool(toxic)].update(words | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n})
         if len(counts[True]) + len(counts[False]) > 200_000:
             yield out()
-    yield out()
+    if counts[True] or counts[False]:
+        yield out()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
