@@ -30,7 +30,9 @@ STEMS = (4, 5)
 #: Bounds how many words or stems that are tied to no class are expected among the telling ones.
 CHANCE = 0.1
 _STORE = 300_000
-_DIM = 1 << 15
+#: Letter codes take six bits: 26 letters, and other characters by their remainder.
+_BITS, _OTHERS = 6, 37
+_DIM = 1 << 3 * _BITS
 
 # Look-alikes of letters inside words.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -73,7 +75,7 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts.append(w[at : at + WIDTH].ljust(WIDTH))
             owner.append(k)
     points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype="<u4").reshape(-1, WIDTH) if parts else np.empty((0, WIDTH), dtype="<u4")
-    codes = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 5)
+    codes = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % _OTHERS)
     return np.where(points == 32, 0, codes).astype(np.int32), np.array(owner, dtype=np.int64)
 
 
@@ -87,18 +89,27 @@ def _scale(codes: np.ndarray) -> np.ndarray:
 
 def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     for a, b in _STEPS:
-        yield (codes[:, : WIDTH - b] << 10) | (codes[:, a : WIDTH - b + a] << 5) | codes[:, b:], DECAY ** (b - 2)
+        yield (codes[:, : WIDTH - b] << 2 * _BITS) | (codes[:, a : WIDTH - b + a] << _BITS) | codes[:, b:], DECAY ** (b - 2)
 
 
-def feature_rows(words: list[str]) -> np.ndarray:
-    """Explicit kernel features (words, 32768) of few words; windows of one word are summed."""
+def triples_of(words: list[str]) -> np.ndarray:
+    """All letter triples of some words."""
+    codes, _ = _codes(words)
+    return np.unique(np.concatenate([i[(i & ((1 << _BITS) - 1)) > 0] for i, _ in _triples(codes)]))
+
+
+def feature_rows(words: list[str], columns: np.ndarray) -> np.ndarray:
+    """Kernel features (words, columns) for the letter triples named by ``columns``; windows of one word are summed."""
     codes, owner = _codes(words)
     scale = _scale(codes)
-    out = np.zeros((len(words), _DIM), dtype=np.float32)
+    place = np.full(_DIM, -1, dtype=np.int64)
+    place[columns] = np.arange(len(columns))
+    out = np.zeros((len(words), len(columns)), dtype=np.float32)
     for index, weight in _triples(codes):
-        valid = (index & 31) > 0
+        at = np.where((index & ((1 << _BITS) - 1)) > 0, place[index], -1)
+        valid = at >= 0
         row = np.broadcast_to(owner[:, None], index.shape)
-        np.add.at(out, (row[valid], index[valid]), (weight * np.broadcast_to(scale[:, None], index.shape)[valid]).astype(np.float32))
+        np.add.at(out, (row[valid], at[valid]), (weight * np.broadcast_to(scale[:, None], index.shape)[valid]).astype(np.float32))
     return out
 
 
@@ -157,7 +168,7 @@ class Scorer:
         return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000.0, rounds: int = 60) -> np.ndarray:
     """A linear support vector machine (hinge loss, last column of x is the constant) by dual coordinate descent."""
     rng = np.random.default_rng(5)
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
@@ -177,18 +188,20 @@ def fit_words(positive: list[str], negative: list[str], hard: list[str]) -> tupl
     """Weights over letter triples and the constant of a machine on Nyström features of words."""
     half = LANDMARKS // 2
     marks = positive[:half] + (hard + negative)[:half]
-    basis = feature_rows(marks)
+    columns = triples_of(marks)
+    basis = feature_rows(marks, columns)
     kernel = (basis @ basis.T).astype(np.float64)
     root, vectors = np.linalg.eigh(kernel + 1e-6 * np.eye(len(marks)))
     keep = root > 1e-4 * root.max()
     whiten = vectors[:, keep] / np.sqrt(root[keep])
     words = positive + negative + hard
-    x = np.concatenate([feature_rows(words[k : k + 500]) @ basis.T for k in range(0, len(words), 500)]) @ whiten
+    x = np.concatenate([feature_rows(words[k : k + 500], columns) @ basis.T for k in range(0, len(words), 500)]) @ whiten
     y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
     weight = np.where(y > 0, len(words) / (2 * max(1, len(positive))), len(words) / (2 * max(1, len(words) - len(positive))))
     w = fit_svm(np.column_stack([x, np.full(len(x), 1.0)]), y, weight)
-    folded = basis.T @ (whiten @ w[:-1])
-    return folded.astype(np.float64), float(w[-1])
+    folded = np.zeros(_DIM)
+    folded[columns] = basis.T @ (whiten @ w[:-1])
+    return folded, float(w[-1])
 
 
 def fit_logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -216,14 +229,14 @@ def training_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sketch(text: Column) -> Column:
-    """Four least hashes of a text's pairs of words; copies and near copies share some of them."""
+    """Least hashes of a text's runs of four words; copies and near copies share some of them."""
 
     def run(texts: pd.Series) -> pd.Series:
         rows = []
         for t in texts:
             words, _ = hashed_words([utf8(t)])
-            pairs = mix(words[:-1] * np.uint64(31) + words[1:]) if len(words) > 1 else mix(words + np.uint64(1))
-            rows.append([int(mix(pairs ^ np.uint64(k)).min().astype(np.int64)) if len(pairs) else k for k in range(SKETCHES)])
+            runs = mix(((words[:-3] * np.uint64(31) + words[1:-2]) * np.uint64(31) + words[2:-1]) * np.uint64(31) + words[3:]) if len(words) > 3 else mix(words + np.uint64(1))
+            rows.append([int(mix(runs ^ np.uint64(k)).min().astype(np.int64)) if len(runs) else k for k in range(SKETCHES)])
         return pd.Series(rows)
 
     return F.pandas_udf(run, "array<long>")(text)
@@ -283,12 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     surprise = n * (share * F.log(share / rate) + (1 - share) * F.log((1 - share + 1e-12) / (1 - rate)))
     often = words.where("pos >= 3")
     evidence = float(np.log(max(1, often.count()) / CHANCE))
-    telling = often.where((share > rate) & ((share > 5 * rate) | (share > 0.9)) & (surprise >= evidence)).select("word", "pos")
-    stems = telling.where(F.col("word").startswith("^")).orderBy(F.desc("pos"), "word").limit(SEEDS).select(F.substring("word", 2, 9).alias("stem"))
+    telling = often.where((share > rate) & ((share > 5 * rate) | (share > 0.9)) & (surprise >= evidence)).select("word", "pos", "neg")
+    # a stem must be one of toxic words alone: clean words may begin like a toxic one
+    stems = telling.where(F.col("word").startswith("^") & (F.col("neg") * 200 <= F.col("pos"))).orderBy(F.desc("pos"), "word").limit(SEEDS).select(F.substring("word", 2, 9).alias("stem"))
     held = [F.substring("word", 1, n).alias("stem") for n in STEMS]
     alike = words.where("pos > 0 and neg = 0 and not startswith(word, '^')")
     alike = alike.select("word", "pos", F.explode(F.array(*held)).alias("stem")).join(F.broadcast(stems), "stem", "left_semi").select("word", "pos")
-    found = telling.where(~F.col("word").startswith("^")).union(alike).distinct()
+    found = telling.where(~F.col("word").startswith("^")).select("word", "pos").union(alike).distinct()
     positive = [r["word"] for r in found.orderBy(F.desc("pos"), "word").limit(SEEDS).collect()]
     clean = words.where("neg > 0 and neg * 10 > pos and not startswith(word, '^')")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).collect()]
