@@ -126,13 +126,18 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     in the order of their texts. One document alone follows itself. An empty table gives no rows. Other columns are ignored.
     """
     rows = with_edits(docs)
-    both = rows.select("range", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(c, F.lit("")).alias("x")) for k, c in enumerate(("text", "edited"))])).alias("v"))
-    words = both.select("range", "pos", F.col("v.which").alias("which"), F.explode(F.split(F.col("v.x"), SPACE)).alias("word")).where("word <> ''")
-    terms = words.groupBy("range", "pos", "which", F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    prints = weighted_samples(terms, ["range", "pos", "which"], samples)
-    pair = prints.groupBy("range", "pos").agg(F.max(F.when(F.col("which") == 0, F.col("parts"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("parts"))).alias("edit"))
-    slim = rows.select("range", "pos", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    found = slim.join(pair, ["range", "pos"], "left").select("range", "pos", "doc_id", "n_chars", "edited_sha256", _values(F.col("own")).alias("own"), _values(F.col("edit")).alias("edit"))
+    # A document goes on as its two texts and a row of what isn't text, all by one branch of the plan: one shuffle of the texts
+    # serves all of them.
+    info = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length("text"), F.sha2(F.col("edited").cast("binary"), 256))
+    parts = [(0, F.col("text"), F.lit(None).cast("string")), (1, F.col("edited"), F.lit(None).cast("string")), (2, F.lit(""), info)]
+    each = rows.select("range", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(x, F.lit("")).alias("x"), i.alias("info")) for k, x, i in parts])).alias("v"))
+    words = each.select("range", "pos", F.col("v.which").alias("which"), F.col("v.info").alias("info"), F.explode(F.split(F.col("v.x"), SPACE)).alias("word")).where("word <> '' or which = 2")
+    terms = words.groupBy("range", "pos", "which", "info", F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    prints = weighted_samples(terms, ["range", "pos", "which", "info"], samples)
+    of = lambda k: F.max(F.when(F.col("which") == k, F.col("parts")))
+    found = prints.groupBy("range", "pos").agg(of(0).alias("own"), of(1).alias("edit"), F.split(F.max("info"), ":").alias("info"))
+    doc_id = F.when(F.col("info")[0] != "", F.col("info")[0].cast("long"))
+    found = found.select("range", "pos", doc_id.alias("doc_id"), F.col("info")[1].cast("long").alias("n_chars"), F.col("info")[2].alias("edited_sha256"), _values(F.col("own")).alias("own"), _values(F.col("edit")).alias("edit"))
     found = stage(found, "fp")
     order = W.partitionBy("range").orderBy("pos")
     after = found.withColumn("next", F.lead("own").over(order)).withColumn("last", F.lead("pos").over(order).isNull())
