@@ -17,7 +17,6 @@ from granary.llm.common import hashed_words, mix, partitions, slices, stage, tun
 LENGTH, SEED = 50, 16
 #: Neighbours on either side that a suffix is compared with, in the order of what follows and in that of what precedes.
 NEAR = 6
-_BROADCAST_ANCHORS = 500_000
 _Q = np.uint64(0xA0761D6478BD642F)
 _EMPTY = np.empty(0, dtype=np.int64)
 
@@ -207,7 +206,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     The others are sorted by what follows the seed, and again by what precedes it; each suffix is compared with its NEAR
     neighbours of either side in both orders, also across partitions, and matches are extended left and right. Of more
     occurrences of a seed that share less on both sides than others do, the nearest are compared. Sorting splits frequent
-    seeds; texts are read twice and shuffled only where the repeating documents are too many to broadcast.
+    seeds; texts are read twice and shuffled once, to meet the places of their suffixes that are left.
 
     Documents of equal word sequences are one here: all of them repeat from end to end. Null, empty and shorter texts and null
     ids give no rows; rows repeated under one id are one document. Other columns are ignored.
@@ -221,11 +220,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     same = [F.col(f"s.{c}") == F.col(f"k.{c}") for c in ("n", "c1", "c2")]
     firsts = signed.alias("s").join(named.alias("k"), [*same, F.col("s.doc_id") == F.col("k.id")]).select("k.id", "s.n", "s.c1", "s.c2", "s.seeds", "s.places").dropDuplicates(["id", "c1", "c2"])
     anchors = stage(firsts.select("id", "n", "c1", "c2", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("id", "n", "c1", "c2", F.col("a.seeds").alias("seed"), F.col("a.places").alias("place")), "sa-anchors")
-    often = anchors.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("seed", "least")
+    often = stage(anchors.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("seed", "least"), "sa-often")
     live = anchors.join(often, "seed").groupBy("id", "n", "c1", "c2").agg(F.collect_list(F.struct("place", (F.col("id") > F.col("least")).alias("later"))).alias("live"))
     live = stage(live, "sa-live")
-    total = live.agg(F.sum(F.size("live"))).first()[0] or 0
-    texts = docs.join(F.broadcast(live) if total <= _BROADCAST_ANCHORS else live, F.col("doc_id") == F.col("id")).select("id", "n", "c1", "c2", "live", "text")
+    texts = docs.join(live, F.col("doc_id") == F.col("id")).select("id", "n", "c1", "c2", "live", "text")
     records = stage(texts.mapInPandas(_contexts, _RECORD), "sa-records")
     passages = stage(_sorted_passages(records, "after", "before").union(_sorted_passages(records, "before", "after")), "sa-passages")
     span = F.struct("start", "stop")
