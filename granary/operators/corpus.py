@@ -130,3 +130,39 @@ def datasheet(counts: DataFrame, title: str) -> str:
     lines = [f"# {title}", "", "| facet | name | questions |", "|---|---|---|"]
     lines += [f"| {r['facet']} | {r['name']} | {r['n']} |" for r in counts.orderBy("facet", "name").collect()]
     return "\n".join(lines) + "\n"
+
+
+def drafted(candidates: DataFrame, docs: DataFrame, generate, judge=None, known_share: float = 0.6) -> DataFrame:
+    """Questions drafted from chosen documents (collection_id, question_type, doc_id), with what checks say of them.
+
+    ``generate(system, user)`` gives JSON with question, answer and snippets. A question is answerable without its documents
+    if a closed-book answer isn't "unknown" and agrees with the draft's by F1 of ``known_share`` or more.
+    """
+    from granary.functions.text import json_object, token_f1
+    from granary.operators.spans import located
+
+    texts = candidates.join(docs.select("doc_id", "text"), "doc_id").groupBy("collection_id", "question_type").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 4000).alias("t")))).alias("d"))
+    shown = F.array_join(F.transform("d", lambda x: F.concat(F.lit("## "), x["doc_id"], F.lit("\n"), x["t"])), "\n\n")
+    draft = F.from_json(json_object(generate("Draft a question as JSON.", F.concat(F.col("question_type"), F.lit("\n"), shown))), "question string, answer string, snippets array<struct<document_id:string,snippet:string>>")
+    made = texts.withColumn("j", draft).where("j.question is not null").select(F.sha2(F.concat_ws("|", "collection_id", "question_type", "j.question"), 256).alias("qid"), "collection_id", F.col("question_type").alias("type"), "j.question", "j.answer", "j.snippets")
+    closed = generate("Answer, or say unknown.", F.col("question"))
+    made = made.withColumn("answerable", (F.lower(F.trim(closed)) != "unknown") & (token_f1(closed, F.col("answer")) >= known_share))
+    one = made.select("qid", F.explode("snippets").alias("s")).select("qid", "s.document_id", "s.snippet")
+    at = located(one, docs.select(F.col("doc_id").alias("document_id"), "text")).where("char_start is not null")
+    found = at.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("document_id", "char_start", "char_end", F.lit(1).alias("grade")))).alias("gold_spans"))
+    checks = F.create_map(F.lit("grounded"), F.coalesce(F.size("gold_spans") > 0, F.lit(False)), F.lit("judged"), judge(F.col("question"), F.col("answer")) if judge is not None else F.lit(True))
+    return made.drop("snippets").join(found, "qid", "left").withColumn("checks", checks)
+
+
+def merged_batches(batches: list[DataFrame], threshold: float = 0.93, seed: int = 42) -> DataFrame:
+    """Batches of questions (qid, collection_id, embedding, ...) as one, earlier batches first, without near duplicates, split anew."""
+    from granary.operators.graph import near_duplicate_mask
+
+    rows = None
+    for k, b in enumerate(batches):
+        b = b.withColumn("__batch", F.lit(k))
+        rows = b if rows is None else rows.unionByName(b, allowMissingColumns=True)
+    placed = rows.withColumn("position", F.row_number().over(W.orderBy("__batch", "qid")))
+    kept = near_duplicate_mask(placed.select(F.col("qid").alias("chunk_id"), "position", "embedding"), threshold).where("kept")
+    one = placed.join(kept.select(F.col("chunk_id").alias("qid")), "qid", "left_semi").drop("__batch", "position")
+    return with_split(one.drop("split") if "split" in one.columns else one, collection_splits(one, seed=seed))
