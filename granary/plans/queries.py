@@ -39,14 +39,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asking(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
-    """The first twenty vectors as queries; ``turned`` reads them backwards, as a second path."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 20")
+    """The query set of searches, vectors whose number is divisible by 50; ``turned`` reads them backwards, as a second path."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
     return e.select(F.col("vec_id").cast("string").alias("qid"), (F.reverse("embedding") if turned else F.col("embedding")).alias("embedding"), F.col("label").alias("q_label"))
 
 
 _R = 6
 _V = "v AS (SELECT vec_id::VARCHAR AS chunk_id, 'd' || label AS document_id, (vec_id % 3)::INTEGER AS level, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
-_Q = "q AS (SELECT vec_id::VARCHAR AS qid, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id < 20), p AS (SELECT vec_id::VARCHAR AS qid, list_reverse(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20)"
+_Q = "q AS (SELECT vec_id::VARCHAR AS qid, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT vec_id::VARCHAR AS qid, list_reverse(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def _near(q: str, k: int, where: str = "true", by: str = "") -> str:
@@ -272,11 +272,11 @@ def span_qrels(spark, sf_dir):
     return spans.judged_chunks(gold(spark, sf_dir), windows(spark, sf_dir)).select("qid", "chunk_id", F.col("grade").cast("long").alias("grade"))
 
 
-@query(f"""WITH {_W}, h AS (SELECT * FROM w WHERE document_id::BIGINT % 7 = 0 AND chunk_index % 2 = 1)
+@query(f"""WITH {_W}, h AS (SELECT * FROM w)
 SELECT h.chunk_id, md5(concat_ws(' ', right(b.content, 200), h.content, left(a.content, 200))) AS digest FROM h LEFT JOIN w b ON b.document_id = h.document_id AND b.chunk_index = h.chunk_index - 1 LEFT JOIN w a ON a.document_id = h.document_id AND a.chunk_index = h.chunk_index + 1""")
 def neighbor_expand(spark, sf_dir):
     w = windows(spark, sf_dir).withColumn("level", F.lit(0))
-    hits = w.where("cast(document_id as long) % 7 = 0 and chunk_index % 2 = 1").select("chunk_id", "content", "level")
+    hits = w.select("chunk_id", "content", "level")
     return spans.with_neighbours(hits, w).select("chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
@@ -338,10 +338,10 @@ def edges_ast(spark, sf_dir):
 
 
 def _seeds(spark, sf_dir):
-    return leaves(spark, sf_dir).where("vec_id < 40").select((F.col("vec_id") % 10).cast("string").alias("qid"), "chunk_id")
+    return leaves(spark, sf_dir).where("vec_id % 50 = 0").select((F.floor(F.col("vec_id") / 50) % 10).cast("string").alias("qid"), "chunk_id")
 
 
-_WALK = f"WITH {_L}, {_SEQ} , sides AS (SELECT src, dst FROM seq UNION SELECT dst, src FROM seq), deg AS (SELECT src, count(*) AS n FROM sides GROUP BY src), m AS (SELECT src, dst, 1.0::DOUBLE / n AS w FROM sides JOIN deg USING (src)), seeds AS (SELECT DISTINCT (vec_id % 10)::VARCHAR AS qid, chunk_id FROM l WHERE vec_id < 40), p0 AS (SELECT qid, chunk_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY qid) AS p FROM seeds)"
+_WALK = f"WITH {_L}, {_SEQ} , sides AS (SELECT src, dst FROM seq UNION SELECT dst, src FROM seq), deg AS (SELECT src, count(*) AS n FROM sides GROUP BY src), m AS (SELECT src, dst, 1.0::DOUBLE / n AS w FROM sides JOIN deg USING (src)), seeds AS (SELECT DISTINCT (vec_id // 50 % 10)::VARCHAR AS qid, chunk_id FROM l WHERE vec_id % 50 = 0), p0 AS (SELECT qid, chunk_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY qid) AS p FROM seeds)"
 for _k in range(1, 21):
     _WALK += f", p{_k} AS MATERIALIZED (SELECT qid, chunk_id, sum(p) AS p FROM (SELECT qid, dst AS chunk_id, 0.85::DOUBLE * p * w AS p FROM p{_k - 1} JOIN m ON m.src = p{_k - 1}.chunk_id UNION ALL SELECT qid, chunk_id, 0.15::DOUBLE * p FROM p0) GROUP BY qid, chunk_id)"
 
@@ -359,20 +359,20 @@ def ppr_expand(spark, sf_dir):
     return graph.expanded(ranks, s, 5).select("qid", "chunk_id", "p")
 
 
-_NLI = "e AS (SELECT vec_id::VARCHAR AS src, ((vec_id * 7 + 3) % 50)::VARCHAR AS dst, CASE WHEN vec_id % 5 = 0 THEN 'contradiction' WHEN vec_id % 2 = 0 THEN 'entailment' ELSE 'elaboration' END AS label, 0.5::DOUBLE + (vec_id % 7) / 20.0::DOUBLE AS c FROM embeddings WHERE vec_id < 50 UNION ALL SELECT vec_id::VARCHAR, ((vec_id * 3 + 1) % 50)::VARCHAR, 'entailment', 0.4::DOUBLE + (vec_id % 11) / 25.0::DOUBLE FROM embeddings WHERE vec_id < 50), s AS (SELECT DISTINCT src, dst, c FROM e WHERE label <> 'contradiction')"
+_NLI = "e AS (SELECT vec_id::VARCHAR AS src, ((vec_id * 7 + 3) % 500)::VARCHAR AS dst, CASE WHEN vec_id % 5 = 0 THEN 'contradiction' WHEN vec_id % 2 = 0 THEN 'entailment' ELSE 'elaboration' END AS label, 0.5::DOUBLE + (vec_id % 7) / 20.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id::VARCHAR, ((vec_id * 3 + 1) % 500)::VARCHAR, 'entailment', 0.4::DOUBLE + (vec_id % 11) / 25.0::DOUBLE FROM embeddings), s AS (SELECT DISTINCT src, dst, c FROM e WHERE label <> 'contradiction')"
 
 
-@query(f"""WITH {_NLI}, a AS (SELECT (vec_id % 3)::VARCHAR AS qid, [vec_id::VARCHAR] AS p, 1.0::DOUBLE AS w FROM embeddings WHERE vec_id < 9),
+@query(f"""WITH {_NLI}, a AS (SELECT (vec_id // 50 % 3)::VARCHAR AS qid, [vec_id::VARCHAR] AS p, 1.0::DOUBLE AS w FROM embeddings WHERE vec_id % 50 = 0),
 b AS (SELECT qid, list_append(p, dst) AS p, w * c AS w FROM a JOIN s ON s.src = p[-1] WHERE NOT list_contains(p, dst)), d AS (SELECT qid, list_append(p, dst) AS p, w * c AS w FROM b JOIN s ON s.src = p[-1] WHERE NOT list_contains(p, dst)), f AS (SELECT qid, list_append(p, dst) AS p, w * c AS w FROM d JOIN s ON s.src = p[-1] WHERE NOT list_contains(p, dst)),
 u AS (SELECT qid, array_to_string(p, '>') AS chain, round(w, 9) AS score FROM (FROM b UNION ALL FROM d UNION ALL FROM f)) SELECT qid, chain, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chain) AS r FROM u) WHERE r <= 10""")
 def entailment_chains(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 50")
+    e = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 5 == 0, "contradiction").when(F.col("vec_id") % 2 == 0, "entailment").otherwise("elaboration")
     s = lambda c: c.cast("string")
-    one = e.select(s(F.col("vec_id")).alias("src"), s((F.col("vec_id") * 7 + 3) % 50).alias("dst"), label.alias("label"), (0.5 + (F.col("vec_id") % 7) / 20.0).alias("confidence"))
-    two = e.select(s(F.col("vec_id")), s((F.col("vec_id") * 3 + 1) % 50), F.lit("entailment"), 0.4 + (F.col("vec_id") % 11) / 25.0)
+    one = e.select(s(F.col("vec_id")).alias("src"), s((F.col("vec_id") * 7 + 3) % 500).alias("dst"), label.alias("label"), (0.5 + (F.col("vec_id") % 7) / 20.0).alias("confidence"))
+    two = e.select(s(F.col("vec_id")), s((F.col("vec_id") * 3 + 1) % 500), F.lit("entailment"), 0.4 + (F.col("vec_id") % 11) / 25.0)
     edges = one.union(two).where("label <> 'contradiction'").withColumn("label", F.lit("entailment")).distinct()
-    seeds = e.where("vec_id < 9").select(s(F.col("vec_id") % 3).alias("qid"), s(F.col("vec_id")).alias("chunk_id"))
+    seeds = e.where("vec_id % 50 = 0").select(s(F.floor(F.col("vec_id") / 50) % 3).alias("qid"), s(F.col("vec_id")).alias("chunk_id"))
     found = graph.entailment_chains(edges, seeds, top_k=10_000).withColumn("score", F.round("score", 9)).drop("rank")
     return search.ranked(found, 10, ties=("chain",)).select("qid", "chain", "score")
 
@@ -458,14 +458,14 @@ def router_crossfit(spark, sf_dir):
 
 # --- evaluation
 
-_RUN = f"{_V}, {_Q}, r AS ({_near('q', 30)}), qrels AS (SELECT q.qid, v.chunk_id, CASE WHEN v.vec_id % 2 = 0 THEN 2 ELSE 1 END AS grade FROM q JOIN v ON v.label = q.label AND v.chunk_id <> q.qid AND v.vec_id < 200), g AS (SELECT r.qid, r.chunk_id, coalesce(grade, 0) AS grade, row_number() OVER (PARTITION BY r.qid ORDER BY score DESC, r.chunk_id DESC) AS rank FROM r LEFT JOIN qrels USING (qid, chunk_id) WHERE r.qid IN (SELECT qid FROM qrels))"
+_RUN = f"{_V}, {_Q}, r AS ({_near('q', 30)}), qrels AS (SELECT q.qid, v.chunk_id, CASE WHEN v.vec_id % 2 = 0 THEN 2 ELSE 1 END AS grade FROM q JOIN v ON v.label = q.label AND v.chunk_id <> q.qid), g AS (SELECT r.qid, r.chunk_id, coalesce(grade, 0) AS grade, row_number() OVER (PARTITION BY r.qid ORDER BY score DESC, r.chunk_id DESC) AS rank FROM r LEFT JOIN qrels USING (qid, chunk_id) WHERE r.qid IN (SELECT qid FROM qrels))"
 
 
 def _run(spark, sf_dir):
     v = vectors(spark, sf_dir)
     run = search.knn(v, asking(spark, sf_dir), 30, exclude_self=True).select("qid", "chunk_id", "score")
     q = asking(spark, sf_dir).select("qid", F.col("q_label").alias("label"))
-    qrels = v.where("vec_id < 200").join(F.broadcast(q), "label").where("chunk_id <> qid").select("qid", "chunk_id", F.when(F.col("vec_id") % 2 == 0, 2).otherwise(1).alias("grade"))
+    qrels = v.join(F.broadcast(q), "label").where("chunk_id <> qid").select("qid", "chunk_id", F.when(F.col("vec_id") % 2 == 0, 2).otherwise(1).alias("grade"))
     return run, qrels
 
 
@@ -485,14 +485,14 @@ def recall_curve(spark, sf_dir):
 
 def _answers(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("qid"), F.substring("text", 1, 40).alias("predicted"), F.array(F.substring("text", 1, 60), F.concat(F.lit("The "), F.substring("text", 1, 40), F.lit(".")), F.lit("")).alias("gold"))
+    return b.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("predicted"), F.array(F.regexp_replace("text", "th", " x "), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("The "), "text", F.lit("."))).otherwise("")).alias("gold"))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 _TOKENS = "list_filter(string_split(" + _NORM + ", ' '), lambda x: x <> '')"
 
 
-@query(f"""WITH a AS (SELECT item_id::VARCHAR AS qid, substring(text, 1, 40) AS p, unnest([substring(text, 1, 60), 'The ' || substring(text, 1, 40) || '.', '']) AS g FROM benchmark),
+@query(f"""WITH a AS (SELECT item_id::VARCHAR AS qid, text AS p, unnest([regexp_replace(text, 'th', ' x ', 'g'), CASE WHEN item_id % 2 = 0 THEN 'The ' || text || '.' ELSE '' END]) AS g FROM benchmark),
 t AS (SELECT qid, ({_NORM.format('p')} = {_NORM.format('g')})::INTEGER AS em, {_TOKENS.format('p')} AS x, {_TOKENS.format('g')} AS y FROM a),
 c AS (SELECT *, list_sum(list_transform(list_distinct(x), lambda u: least(len(list_filter(x, lambda v: v = u)), len(list_filter(y, lambda v: v = u))))) AS c FROM t)
 SELECT qid, max(em)::DOUBLE AS em, round(max(CASE WHEN len(x) = 0 OR len(y) = 0 THEN (len(x) = len(y))::INTEGER WHEN c = 0 THEN 0 ELSE 2 * (c / len(x)) * (c / len(y)) / (c / len(x) + c / len(y)) END)::DOUBLE, 6) AS f1 FROM c GROUP BY qid""")
@@ -502,11 +502,11 @@ def answer_em_f1(spark, sf_dir):
 
 def _config_scores(spark, sf_dir):
     """A score a query of five configurations."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(F.concat(F.lit("c"), k.cast("string")).alias("config"), F.abs(F.get(F.col("embedding"), k)).cast("double").alias("value")))).alias("s"), F.col("vec_id").cast("string").alias("qid")).select("s.config", "qid", "s.value")
 
 
-@query("""WITH s AS (SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS i, abs(embedding[1])::DOUBLE AS v, count(*) OVER () AS n FROM embeddings WHERE vec_id < 100), d AS (SELECT b, (b * 7919 + i * 104729 + 1) % n AS i FROM s, range(200) t(b))
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS i, abs(embedding[1])::DOUBLE AS v, count(*) OVER () AS n FROM embeddings), d AS (SELECT b, (b * 7919 + i * 104729 + 1) % n AS i FROM s, range(200) t(b))
 SELECT b::INTEGER AS b, round(avg(v), 9) AS mean FROM d JOIN s USING (i) GROUP BY b""")
 def bootstrap_means(spark, sf_dir):
     s = _config_scores(spark, sf_dir).where("config = 'c0'")
@@ -524,10 +524,10 @@ def compare_configs(spark, sf_dir):
 
 
 def _p_values(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").cast("string").alias("name"), (F.pow(F.abs(F.col("embedding")[5]).cast("double"), 4.0)).alias("p"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), (F.pow(F.abs(F.col("embedding")[5]).cast("double"), 4.0)).alias("p"))
 
 
-_P = "p AS (SELECT vec_id::VARCHAR AS name, pow(abs(embedding[6])::DOUBLE, 4.0) AS p FROM embeddings WHERE vec_id < 60)"
+_P = "p AS (SELECT vec_id::VARCHAR AS name, pow(abs(embedding[6])::DOUBLE, 4.0) AS p FROM embeddings)"
 
 
 @query(f"WITH {_P}, o AS (SELECT *, (p <= 0.05 / (count(*) OVER () - row_number() OVER w + 1))::INTEGER AS ok FROM p WINDOW w AS (ORDER BY p, name)) SELECT name, min(ok) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM o")
@@ -540,7 +540,7 @@ def bh(spark, sf_dir):
     return stats.benjamini_hochberg(_p_values(spark, sf_dir)).select("name", "rejected")
 
 
-@query("""WITH s AS (SELECT vec_id::VARCHAR AS qid, unnest(range(0, 5)) AS k, embedding FROM embeddings WHERE vec_id < 100), x AS (SELECT 'c' || k AS config, qid, abs(embedding[k + 1])::DOUBLE AS v FROM s)
+@query("""WITH s AS (SELECT vec_id::VARCHAR AS qid, unnest(range(0, 5)) AS k, embedding FROM embeddings), x AS (SELECT 'c' || k AS config, qid, abs(embedding[k + 1])::DOUBLE AS v FROM s)
 SELECT a.config, a.qid, round(a.v - r.v, 6) AS value FROM x a JOIN x r USING (qid) WHERE r.config = 'c0' AND a.config <> 'c0'""")
 def paired_differences(spark, sf_dir):
     return stats.paired_differences(_config_scores(spark, sf_dir), "c0").select("config", "qid", F.round("value", _R).alias("value"))
@@ -552,10 +552,10 @@ def paired_differences(spark, sf_dir):
 def _drafts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     kinds = F.array(*[F.lit(t) for t in ("factual", "code", "cross_document", "multi_hop", "thematic")])
-    return d.select(F.col("doc_id").cast("string").alias("qid"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("type"), F.col("source").alias("collection_id"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("split"), (F.col("doc_id") % 4).cast("int").alias("n_spans"))
+    return d.select(F.col("doc_id").cast("string").alias("qid"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("type"), F.col("source").alias("collection_id"), F.when(F.col("lang") != "en", F.col("lang")).alias("split"), F.size(F.split("text", "\n")).alias("n_spans"))
 
 
-@query("""WITH d AS (SELECT ['factual', 'code', 'cross_document', 'multi_hop', 'thematic'][doc_id % 5 + 1] AS type, CASE WHEN doc_id % 3 <> 0 THEN lang END AS split, doc_id % 4 AS n FROM documents)
+@query("""WITH d AS (SELECT ['factual', 'code', 'cross_document', 'multi_hop', 'thematic'][doc_id % 5 + 1] AS type, nullif(lang, 'en') AS split, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT 'total' AS facet, 'all' AS name, count(*) AS n FROM d UNION ALL SELECT 'type', type, count(*) FROM d GROUP BY type UNION ALL SELECT 'split', coalesce(split, 'unassigned'), count(*) FROM d GROUP BY 2 UNION ALL SELECT 'multi_evidence', 'all', count(*) FILTER (n >= 2) FROM d""")
 def dataset_stats(spark, sf_dir):
     return corpus.dataset_counts(_drafts(spark, sf_dir))
@@ -567,9 +567,9 @@ def collection_split(spark, sf_dir):
     return corpus.collection_splits(_drafts(spark, sf_dir))
 
 
-@query("SELECT doc_id::VARCHAR AS qid, source AS collection_id FROM documents WHERE doc_id % 4 >= 2 AND source IN ('src1', 'src2')")
+@query("SELECT doc_id::VARCHAR AS qid, source AS collection_id FROM documents WHERE len(string_split(text, chr(10))) >= 2")
 def multi_evidence(spark, sf_dir):
-    return _drafts(spark, sf_dir).where("n_spans >= 2 and collection_id in ('src1', 'src2')").select("qid", "collection_id")
+    return _drafts(spark, sf_dir).where("n_spans >= 2").select("qid", "collection_id")
 
 
 @query()
@@ -578,12 +578,12 @@ def question_documents(spark, sf_dir):
     return corpus.chosen_documents(d.select(F.col("source").alias("collection_id"), F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 5 == 1, "code").otherwise(F.col("lang")).alias("modality"), F.col("doc_id").alias("position")))
 
 
-@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 3 <> 0), t AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH m AS (SELECT doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS sha FROM documents), t AS (SELECT doc_id, sha256(text) AS sha FROM documents)
 SELECT CASE WHEN m.doc_id IS NULL THEN 'extra' WHEN t.doc_id IS NULL THEN 'missing' WHEN m.sha = t.sha THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n FROM m FULL JOIN t ON m.doc_id = t.doc_id GROUP BY 1""")
 def manifest_verify(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     sha = F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.sha2(F.col("text").cast("binary"), 256))
-    return corpus.verified(d.where("doc_id % 3 <> 0").select("doc_id", sha.alias("content_sha256")), d.where("doc_id % 7 <> 0"))
+    return corpus.verified(d.select((F.col("doc_id") + F.when(F.col("doc_id") % 7 == 0, 1_000_000_000).otherwise(0)).alias("doc_id"), sha.alias("content_sha256")), d)
 
 
 @query("""SELECT doc_id, sha256('{"kind":"embed","model":"m","params":{},"payload":"' || lang || '-' || doc_id || '","provider":"p","version":1}') AS key FROM documents""")
@@ -606,20 +606,20 @@ def document_kinds(spark, sf_dir):
     return d.select("doc_id", language.alias("language"), T.modality(F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0), name, language).alias("modality"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-_UP = "o AS (SELECT vec_id::VARCHAR AS chunk_id, label AS v FROM embeddings WHERE vec_id < 300), n AS (SELECT vec_id::VARCHAR AS chunk_id, label + 100 AS v FROM embeddings WHERE vec_id >= 200)"
+_UP = "o AS (SELECT vec_id::VARCHAR AS chunk_id, label AS v FROM embeddings), n AS (SELECT (vec_id + 250)::VARCHAR AS chunk_id, label + 100 AS v FROM embeddings)"
 
 
 @query(f"WITH {_UP} SELECT chunk_id, v::INTEGER AS v FROM n UNION ALL SELECT chunk_id, v FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n)")
 def node_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "label")
-    old, new = e.where("vec_id < 300").select("chunk_id", F.col("label").alias("v")), e.where("vec_id >= 200").select("chunk_id", (F.col("label") + 100).cast("int").alias("v"))
+    e = table(spark, sf_dir, "embeddings")
+    old, new = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("v")), e.select((F.col("vec_id") + 250).cast("string").alias("chunk_id"), (F.col("label") + 100).cast("int").alias("v"))
     return N.upserted(old, new)
 
 
-@query("WITH w AS (SELECT vec_id AS pos, ((vec_id * 37) % 700)::VARCHAR AS chunk_id FROM embeddings WHERE vec_id < 50) SELECT w.pos, w.chunk_id, e.label FROM w JOIN embeddings e ON e.vec_id::VARCHAR = w.chunk_id")
+@query("WITH w AS (SELECT vec_id AS pos, ((vec_id * 37) % 700)::VARCHAR AS chunk_id FROM embeddings) SELECT w.pos, w.chunk_id, e.label FROM w JOIN embeddings e ON e.vec_id::VARCHAR = w.chunk_id")
 def nodes_by_id(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    wanted = e.where("vec_id < 50").select(F.col("vec_id").alias("pos"), ((F.col("vec_id") * 37) % 700).cast("string").alias("chunk_id"))
+    wanted = e.select(F.col("vec_id").alias("pos"), ((F.col("vec_id") * 37) % 700).cast("string").alias("chunk_id"))
     return N.by_ids(e.select(F.col("vec_id").cast("string").alias("chunk_id"), "label"), wanted)
 
 
@@ -657,7 +657,7 @@ def page_parse(spark, sf_dir):
 def retrieval_pipeline(spark, sf_dir):
     """The flagship: the whole pipeline over documents' windows with offline models."""
     w = windows(spark, sf_dir).withColumn("embedding", models.embed(F.col("content")))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.substring("text", 1, 200).alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
     cfg = config.with_values(config.Pipeline(), {"raptor.enabled": False, "fusion.hyde_expansion": "modality"})
     return retrieval.run(w, q, cfg).hits.select("qid", "chunk_id", F.round("score", _R).alias("score"), "rank")
 
