@@ -78,7 +78,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A record a suffix: its seed and the words before (nearest first) and after it, 32 bits each, 0 past the text's ends."""
+    """A record a suffix, alike ones of a document together: its seed, its places and the words before (nearest first) and after it, 32 bits each, 0 past the text's ends."""
     side = LENGTH - SEED
     for pdf in batches:
         for k, words in enumerate(_document_words(pdf["text"].tolist())):
@@ -93,7 +93,12 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = short[at[:, None] + side - 1 - np.arange(side)]
             after = short[at[:, None] + side + SEED + np.arange(side)]
             seeds = rolled(words, SEED)[at].astype(np.int64)
-            yield pd.DataFrame({"seed": seeds, "doc": pdf["id"].iat[k], "place": at, "later": later, "before": [b.tobytes() for b in before], "after": [a.tobytes() for a in after]})
+            # a document that repeats itself has one record for all places with the same words around them
+            alike: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(seeds.tolist(), later, (b.tobytes() for b in before), (a.tobytes() for a in after), strict=True)):
+                alike.setdefault(key, []).append(int(at[i]))
+            rows = [(seed, pdf["id"].iat[k], places, flag, b, a) for (seed, flag, b, a), places in alike.items()]
+            yield pd.DataFrame(rows, columns=["seed", "doc", "places", "later", "before", "after"])
 
 
 def _matched(seed: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +121,18 @@ def _matched(seed: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.nd
     return left, right
 
 
-_RECORD = "seed long, doc long, place long, later boolean, before binary, after binary"
+_RECORD = "seed long, doc long, places array<int>, later boolean, before binary, after binary"
+
+
+def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Passages of sorted records, one a place."""
+    grid = lambda c: np.frombuffer(b"".join(pdf[c]), dtype=">u4").reshape(len(pdf), -1)
+    left, right = _matched(pdf["seed"].to_numpy(), pdf["doc"].to_numpy(), grid("before"), grid("after"))
+    k = np.flatnonzero(left >= 0)
+    places = [np.asarray(p, dtype=np.int64) for p in pdf["places"].to_numpy()[k]]
+    each = np.repeat(k, [len(p) for p in places]) if len(k) else _EMPTY
+    place = np.concatenate(places) if places else _EMPTY
+    return pd.DataFrame({"doc": pdf["doc"].to_numpy()[each], "start": place - left[each], "stop": place + right[each], "later": pdf["later"].to_numpy()[each]})
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,18 +141,11 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: pd.DataFrame | None = None
     first: pd.DataFrame | None = None
 
-    def spans(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = lambda c: np.frombuffer(b"".join(pdf[c]), dtype=">u4").reshape(len(pdf), -1)
-        left, right = _matched(pdf["seed"].to_numpy(), pdf["doc"].to_numpy(), grid("before"), grid("after"))
-        k = np.flatnonzero(left >= 0)
-        place = pdf["place"].to_numpy()[k]
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[k], "start": place - left[k], "stop": place + right[k], "later": pdf["later"].to_numpy()[k]})
-
     for pdf in batches:
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if first is None or len(first) < NEAR:
             first = held.iloc[:NEAR]
-        yield spans(held).assign(part=-1, head=False, seed=0, place=0, before=None, after=None)
+        yield _placed(held).assign(part=-1, head=False, seed=0, places=None, before=None, after=None)
         held = held.iloc[-NEAR:]
     if held is not None and len(held):
         for rows, head in ((first, True), (held, False)):
@@ -149,18 +158,13 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not whole:
         return
     for _, g in pd.concat(whole).groupby("gap", sort=False):
-        g = pd.concat([g[~g["head"]], g[g["head"]]])
-        grid = lambda c, g=g: np.frombuffer(b"".join(g[c]), dtype=">u4").reshape(len(g), -1)
-        left, right = _matched(g["seed"].to_numpy(), g["doc"].to_numpy(), grid("before"), grid("after"))
-        k = np.flatnonzero(left >= 0)
-        place = g["place"].to_numpy()[k]
-        yield pd.DataFrame({"doc": g["doc"].to_numpy()[k], "start": place - left[k], "stop": place + right[k], "later": g["later"].to_numpy()[k]})
+        yield _placed(pd.concat([g[~g["head"]], g[g["head"]]]))
 
 
 def _sorted_passages(records: DataFrame, *order: str) -> DataFrame:
     spark = records.sparkSession
-    dealt = records.repartitionByRange(partitions(spark), "seed", *order, "doc", "place").sortWithinPartitions("seed", *order, "doc", "place")
-    schema = "doc long, start long, stop long, later boolean, part int, head boolean, seed long, place long, before binary, after binary"
+    dealt = records.repartitionByRange(partitions(spark), "seed", *order, "doc").sortWithinPartitions("seed", *order, "doc")
+    schema = "doc long, start long, stop long, later boolean, part int, head boolean, seed long, places array<int>, before binary, after binary"
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +175,7 @@ def _sorted_passages(records: DataFrame, *order: str) -> DataFrame:
     ends = found.where("part >= 0")
     parts = ends.select("part").distinct().withColumn("before_it", F.lag("part").over(W.orderBy("part")))  # a row a partition
     gaps = ends.join(parts, "part").withColumn("gap", F.when(F.col("head"), F.col("before_it")).otherwise(F.col("part"))).where("gap is not null")
-    between = gaps.repartition(partitions(spark), "gap").sortWithinPartitions("gap", "head", "seed", *order, "doc", "place").mapInPandas(_across, "doc long, start long, stop long, later boolean")
+    between = gaps.repartition(partitions(spark), "gap").sortWithinPartitions("gap", "head", "seed", *order, "doc").mapInPandas(_across, "doc long, start long, stop long, later boolean")
     return found.where("part < 0").select("doc", "start", "stop", "later").union(between)
 
 
