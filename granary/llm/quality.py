@@ -140,16 +140,20 @@ def fit_labels(patterns: dict[int, int], rounds: int = 200) -> Labels:
     return Labels(prior, table)
 
 
-def features(text: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed places of a text's words and of its runs of four character classes."""
+_VOTES = np.arange(len(LABELLERS), dtype=np.int64)
+
+
+def features(text: bytes, words: np.ndarray, code: int) -> tuple[np.ndarray, ...]:
+    """Hashed places of a text's words, of its runs of four character classes and of the labellers' votes."""
     kind = _KIND[np.frombuffer(text, dtype=np.uint8)]
     runs = (((kind[:-3] * 12 + kind[1:-2]) * 12 + kind[2:-1]) * 12 + kind[3:]) if len(kind) > 3 else np.empty(0, dtype=np.int64)
-    return (words >> np.uint64(64 - BITS)).astype(np.int64), (1 << BITS) + runs * 40_503 % (1 << BITS)
+    cast = (3 * _VOTES + code // 3**_VOTES % 3 + 1) * 2_654_435_761 % (1 << BITS)
+    return (words >> np.uint64(64 - BITS)).astype(np.int64), (1 << BITS) + runs * 40_503 % (1 << BITS), (1 << BITS) + cast
 
 
-def raw_score(weights: np.ndarray, text: bytes, words: np.ndarray) -> float:
-    a, b = features(text, words)
-    return float((weights[a].mean() if len(a) else 0.0) + (weights[b].mean() if len(b) else 0.0) + weights[-1])
+def raw_score(weights: np.ndarray, text: bytes, words: np.ndarray, code: int) -> float:
+    *shares, cast = features(text, words, code)
+    return float(sum(weights[part].mean() for part in shares if len(part)) + weights[cast].sum() + weights[-1])
 
 
 def _each(texts: list) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -171,11 +175,12 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for t, w in _each(pdf["text"].tolist()):
-            found = []
-            for part in features(t, w):
+            found, code = [], votes(facts(t, w))
+            *shares, cast = features(t, w, code)
+            for part, whole in [(p, max(1, len(p))) for p in shares] + [(cast, 1)]:  # votes count whole, the rest by their shares
                 at, n = np.unique(part, return_counts=True)
-                found.append((at.astype("<i4"), (n / max(1, len(part))).astype("<f4")))
-            rows.append((votes(facts(t, w)), b"".join(a.tobytes() for a, _ in found), b"".join(n.tobytes() for _, n in found)))
+                found.append((at.astype("<i4"), (n / whole).astype("<f4")))
+            rows.append((code, b"".join(a.tobytes() for a, _ in found), b"".join(n.tobytes() for _, n in found)))
         yield pd.DataFrame(rows, columns=["code", "places", "shares"])
 
 
@@ -203,7 +208,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
     Heuristic labellers vote good, bad or abstain on every document. The counts of vote patterns of all documents, of which
     there can be 3 to the power of the number of labellers, go to the driver, where expectation-maximisation estimates how often
     each labeller is right; a pattern's posterior follows. Posteriors of at most TRAIN_ROWS documents train a logistic scorer on
-    hashed words and hashed runs of character classes; ``score`` is its probability of good, ``keep`` whether that is 0.5 or more.
+    hashed words, runs of character classes and votes; ``score`` is its probability of good, ``keep`` whether that is 0.5 or more.
 
     Null and empty texts are scored as texts without words; null and repeated ids are passed on; an empty table gives no rows;
     other columns are ignored. No labels are read.
@@ -220,7 +225,8 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(votes(facts(t, w)), raw_score(weights, t, w)) for t, w in _each(pdf["text"].tolist())]
+            coded = ((votes(facts(t, w)), t, w) for t, w in _each(pdf["text"].tolist()))
+            found = [(code, raw_score(weights, t, w, code)) for code, t, w in coded]
             score = 1 / (1 + np.exp(-np.clip(np.array([s for _, s in found], dtype=float), -30, 30)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "posterior": labels.posterior(np.array([c for c, _ in found], dtype=np.int64)), "score": score, "keep": score >= 0.5})
 
