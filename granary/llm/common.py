@@ -47,9 +47,10 @@ def unstage(df: DataFrame) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes; texts may be very long."""
+    """Bound Arrow batches, and the reader's column batches, by rows; texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:
