@@ -39,7 +39,7 @@ def collection_splits(collections: DataFrame, fractions: tuple[float, float] = (
     ids = collections.select("collection_id").distinct()
     if exact:
         names = [r[0] for r in ids.orderBy("collection_id").collect()]
-        named_rng(f"hetdocqa-split-{seed}").shuffle(names)
+        named_rng(f"collection-split-{seed}").shuffle(names)
         placed = spark.createDataFrame([(c, k) for k, c in enumerate(names)], "collection_id string, k long").withColumn("n", F.lit(len(names)))
     else:
         order = W.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("collection_id")), 256))
