@@ -17,6 +17,8 @@ from granary.llm.common import hashed_words, mix, partitions, slices, stage, tun
 LENGTH, SEED = 50, 16
 #: Neighbours on either side that a suffix is compared with, in the order of what follows and in that of what precedes.
 NEAR = 6
+#: Keys of a partition that the driver sees to cut ranges.
+SAMPLED = 20
 _Q = np.uint64(0xA0761D6478BD642F)
 _EMPTY = np.empty(0, dtype=np.int64)
 
@@ -163,6 +165,7 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sorted_passages(records: DataFrame, *order: str) -> DataFrame:
     spark = records.sparkSession
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLED))  # keys are long, and the driver gets them
     dealt = records.repartitionByRange(partitions(spark), "seed", *order, "doc").sortWithinPartitions("seed", *order, "doc")
     schema = "doc long, start long, stop long, later boolean, part int, head boolean, seed long, places array<int>, before binary, after binary"
     columns = [c.split()[0] for c in schema.split(", ")]
