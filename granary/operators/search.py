@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,12 +32,15 @@ def knn(nodes: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ()
     nodes are scanned once a block and never shuffled. Distances are recomputed in doubles.
     """
     wanted = queries.select("qid", "embedding").where("embedding is not null")
-    n = wanted.count()
-    blocks = -(-n // QUERY_BLOCK)
-    split = wanted.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))))
-    parts = [_knn_block(nodes, split.where(F.col("__block") == b).drop("__block"), k, keys, metric, exclude_self) for b in range(max(1, blocks))]
-    out = parts[0]
-    for p in parts[1:]:
+    return _by_blocks(wanted, lambda block: _knn_block(nodes, block, k, keys, metric, exclude_self))
+
+
+def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of a search by slices of about QUERY_BLOCK queries."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    split = queries.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    out, *rest = [search(split.where(F.col("__block") == b).drop("__block")) for b in range(blocks)]
+    for p in rest:
         out = out.unionByName(p)
     return out
 
@@ -89,6 +92,58 @@ def knn_sql(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(scored.withColumn("score", relevance(F.col("distance"))), k)
 
 
+def most_overlap(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, score, rank): of all texts the ``k`` of highest ``overlap_score`` of each query, ties by id.
+
+    ``texts`` has chunk_id and text, ``queries`` qid and query. The query set is held by tasks like that of ``knn``, as lists of
+    the queries that have a word. A text's words are looked up there once, which counts the words it shares with every query, and
+    each task keeps its own best k of a query, also those that share nothing. So texts are read once a block and never shuffled.
+    Texts or queries that are null have a null score, which comes last.
+    """
+    return _by_blocks(queries.select("qid", "query"), lambda block: _overlap_block(texts, block, k))
+
+
+def _overlap_block(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    # words are cut from lower-case bytes, where white space is that of the expression
+    as_bytes = lambda c: F.lower(c).cast("binary")
+    held = [(r["qid"], None if r["q"] is None else set(bytes(r["q"]).split())) for r in queries.select("qid", as_bytes(F.col("query")).alias("q")).collect()]
+    having: dict[bytes, list[int]] = {}
+    for i, (_, words) in enumerate(held):
+        for w in words or ():
+            having.setdefault(w, []).append(i)
+    table = texts.sparkSession.sparkContext.broadcast(([(q, None if w is None else len(w)) for q, w in held], {w: np.array(i, dtype=np.int32) for w, i in having.items()}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, by_word = table.value
+        unknown = np.array([n is None for _, n in names], dtype=bool)
+        best: list[list[tuple[int, str]]] = [[] for _ in names]
+        for pdf in batches:
+            if not len(pdf) or not names:
+                continue
+            shared = np.zeros((len(names), len(pdf)), dtype=np.int64)
+            for j, text in enumerate(pdf["text"]):
+                if text is None:
+                    shared[:, j] = -1
+                elif found := by_word.keys() & set(text.split()):
+                    shared[:, j] = np.bincount(np.concatenate([by_word[w] for w in found]), minlength=len(names))
+            shared[unknown] = -1
+            ids = pdf["chunk_id"].to_numpy()
+            # one number for the order by count and id: none are equal, so the cut is exact
+            place = np.empty(len(ids), dtype=np.int64)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            order = place - shared * len(ids)
+            near = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(names), 1))
+            for row, slot in enumerate(best):
+                slot += zip((-shared[row, near[row]]).tolist(), ids[near[row]].tolist(), strict=True)
+                slot.sort()
+                del slot[k:]
+        rows = [(name, c, None if less > 0 else -less / (n + 1e-9)) for (name, n), slot in zip(names, best, strict=True) for less, c in slot]
+        yield pd.DataFrame(rows, columns=["qid", "chunk_id", "score"]).astype({"score": "Float64"})
+
+    near = texts.select("chunk_id", as_bytes(F.col("text")).alias("text")).mapInPandas(run, "qid string, chunk_id string, score double")
+    return ranked(near, k)
+
+
 def merged(hits: DataFrame) -> DataFrame:
     """Union of paths by id: the first path's row wins, then all by score. ``hits`` has qid, path, rank, chunk_id, score."""
     first = W.partitionBy("qid", "chunk_id").orderBy("path", "rank")

@@ -175,10 +175,9 @@ def route_anchors(spark, sf_dir):
 @query("""WITH h AS (SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % 40),
 s AS (SELECT qid, chunk_id, len(list_intersect(q, w)) / (len(q) + 1e-9) AS score FROM h) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
 def rerank_overlap(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", "text")
-    hits = b.join(d, "item_id").select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("chunk_id"), models.rerank(F.col("query"), F.col("text")).alias("score"))
-    return search.ranked(hits, 5).select("qid", "chunk_id", F.round("score", _R).alias("score"), "rank")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return search.most_overlap(d, b, 5).select("qid", "chunk_id", F.round("score", _R).alias("score"), "rank")
 
 
 _SOURCED = f"WITH {_V}, {_Q}, n AS ({_near('q', 10)}), s AS (SELECT *, CASE WHEN rank % 3 = 0 THEN 'cross_encoder' WHEN rank % 3 = 1 THEN 'bi_encoder' ELSE 'rrf' END AS src FROM n), k AS (SELECT *, score >= CASE src WHEN 'bi_encoder' THEN 0.49 WHEN 'cross_encoder' THEN 0.6 ELSE '-inf'::DOUBLE END AS ok FROM s)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import models
 from granary.operators import chunking, corpus, decide, graph, metrics, search, spans, stats, tree
+from granary.plans import queries
 
 
 def df(spark, rows, schema):
@@ -217,3 +218,19 @@ def test_splits_and_manifests(spark):
     assert {r["split"] for r in corpus.collection_splits(c.limit(2)).collect()} == {"test"}
     q = df(spark, [(False, ["s"], {"a": True}), (None, ["s"], {"a": True}), (False, [], {"a": True}), (False, ["s"], {"a": False}), (False, ["s"], {})], "answerable boolean, gold_spans array<string>, checks map<string, boolean>")
     assert q.where(corpus.is_clean(F.col("answerable"), F.col("gold_spans"), F.col("checks"))).count() == 1
+
+
+def test_overlap_ranks_every_text_for_every_query(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    words = ["Alpha", "beta", "été", "ÉTÉ", "γ", "delta.", "\x1ceta", "x\u00a0y", "zeta", "iota"]
+    some = lambda n: "".join(str(w) + str(s) for w, s in zip(rng.choice(words, n), rng.choice([" ", "\t", "\n ", "\x0b"], n), strict=True))
+    docs = df(spark, [(i, some(int(rng.integers(0, 9)))) for i in range(150)] + [(150, None), (151, "")], "doc_id long, text string").repartition(5)
+    items = df(spark, [(i, some(4)) for i in range(60)] + [(60, "none of them"), (61, ""), (62, None)], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs = items.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query")).crossJoin(docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text"))
+    want = search.ranked(pairs.withColumn("score", models.rerank(F.col("query"), F.col("text"))), 5).select("qid", "chunk_id", F.round("score", 6), "rank")
+    got = queries.rerank_overlap(spark, str(tmp_path)).select("qid", "chunk_id", "score", "rank")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 63 * 5
+    few = search.most_overlap(docs.where("doc_id >= 148").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), df(spark, [("q", "zz")], "qid string, query string"), 9)
+    assert [(r["chunk_id"], r["score"]) for r in few.orderBy("rank").collect()] == [("148", 0.0), ("149", 0.0), ("151", 0.0), ("150", None)]
