@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays over content-selected positions."""
+"""Passages that repeat across documents, by sparse suffixes at content-selected positions and the windows around them."""
 
 from __future__ import annotations
 
@@ -6,19 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import hashed_words, mix, partitions, slices, stage, tune, utf8
+from granary.llm.common import hashed_words, mix, slices, stage, tune, utf8
 
 #: A passage is of so many words at least, a suffix is retained where its first SEED words are selected.
 LENGTH, SEED = 50, 16
-#: Neighbours on either side that a suffix is compared with, in the order of what follows and in that of what precedes.
-NEAR = 6
-#: Keys of a partition that the driver sees to cut ranges.
-SAMPLED = 20
+#: Windows of a record, so that a very long document has several.
+RECORD = 20_000
 _Q = np.uint64(0xA0761D6478BD642F)
 _EMPTY = np.empty(0, dtype=np.int64)
 
@@ -35,7 +31,7 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def selected(values: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the leftmost least value of some run of ``window`` values: any equal stretch selects equal positions.
+    """The position of the leftmost least value of each run of ``window`` values: any equal stretch selects equal positions.
 
     Block-wise running minima from both ends give each window's least value in linear time.
     """
@@ -54,7 +50,7 @@ def selected(values: np.ndarray, window: int) -> np.ndarray:
     least = np.minimum(back[: n - window + 1], ahead[window - 1 : n])
     start = np.arange(n - window + 1, dtype=np.int64)
     low = (least & np.uint64((1 << 26) - 1)).astype(np.int64)
-    return np.unique(start + ((low - start) & ((1 << 26) - 1)))
+    return start + ((low - start) & ((1 << 26) - 1))
 
 
 def _document_words(texts: list) -> Iterator[np.ndarray]:
@@ -72,135 +68,50 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for words in _document_words(pdf["text"].tolist()):
             turn = mix(words + np.arange(len(words), dtype=np.uint64) * _Q)
             seeds = rolled(words, SEED)
-            at = selected(seeds, LENGTH - SEED + 1)
+            at = np.unique(selected(seeds, LENGTH - SEED + 1))
             rows.append((len(words), int(turn.sum(dtype=np.uint64).astype(np.int64)), int(mix(turn).sum(dtype=np.uint64).astype(np.int64)), seeds[at].astype(np.int64), at.astype(np.int32)))
         out = pd.DataFrame(rows, columns=["n", "c1", "c2", "seeds", "places"])
         out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
         yield out
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A record a suffix, alike ones of a document together: its seed, its places and the words before (nearest first) and after it, 32 bits each, 0 past the text's ends."""
-    side = LENGTH - SEED
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of a document: hashes and starts of its windows of LENGTH words whose selected position is live."""
     for pdf in batches:
         for k, words in enumerate(_document_words(pdf["text"].tolist())):
             n, c1, c2 = pdf["n"].iat[k], pdf["c1"].iat[k], pdf["c2"].iat[k]
             turn = mix(words + np.arange(len(words), dtype=np.uint64) * _Q)
             if len(words) != n or int(turn.sum(dtype=np.uint64).astype(np.int64)) != c1 or int(mix(turn).sum(dtype=np.uint64).astype(np.int64)) != c2:
                 continue
-            at = np.array([p["place"] for p in pdf["live"].iat[k]], dtype=np.int64)
-            later = [p["later"] for p in pdf["live"].iat[k]]
-            short = np.zeros(len(words) + 2 * side, dtype=">u4")
-            short[side : side + len(words)] = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            before = short[at[:, None] + side - 1 - np.arange(side)]
-            after = short[at[:, None] + side + SEED + np.arange(side)]
-            seeds = rolled(words, SEED)[at].astype(np.int64)
-            # a document that repeats itself has one record for all places with the same words around them
-            alike: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(seeds.tolist(), later, (b.tobytes() for b in before), (a.tobytes() for a in after), strict=True)):
-                alike.setdefault(key, []).append(int(at[i]))
-            rows = [(seed, pdf["id"].iat[k], places, flag, b, a) for (seed, flag, b, a), places in alike.items()]
-            yield pd.DataFrame(rows, columns=["seed", "doc", "places", "later", "before", "after"])
-
-
-def _matched(seed: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted records how far back and ahead their longest passages reach that neighbours of other documents share; -1 without."""
-    left, right = np.full(len(seed), -1, dtype=np.int64), np.full(len(seed), -1, dtype=np.int64)
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = (a != b) | (a == 0)
-        return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-    for d in range(1, NEAR + 1):
-        i = np.flatnonzero((seed[:-d] == seed[d:]) & (doc[:-d] != doc[d:])) if len(seed) > d else _EMPTY
-        if not len(i):
-            continue
-        j = i + d
-        back, ahead = common(before[i], before[j]), common(after[i], after[j]) + SEED
-        ok = back + ahead >= LENGTH
-        for k in (i[ok], j[ok]):
-            left[k], right[k] = np.maximum(left[k], back[ok]), np.maximum(right[k], ahead[ok])
-    return left, right
-
-
-_RECORD = "seed long, doc long, places array<int>, later boolean, before binary, after binary"
-
-
-def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Passages of sorted records, one a place."""
-    grid = lambda c: np.frombuffer(b"".join(pdf[c]), dtype=">u4").reshape(len(pdf), -1)
-    left, right = _matched(pdf["seed"].to_numpy(), pdf["doc"].to_numpy(), grid("before"), grid("after"))
-    k = np.flatnonzero(left >= 0)
-    places = [np.asarray(p, dtype=np.int64) for p in pdf["places"].to_numpy()[k]]
-    each = np.repeat(k, [len(p) for p in places]) if len(k) else _EMPTY
-    place = np.concatenate(places) if places else _EMPTY
-    return pd.DataFrame({"doc": pdf["doc"].to_numpy()[each], "start": place - left[each], "stop": place + right[each], "later": pdf["later"].to_numpy()[each]})
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passages of sorted records, and the records at both ends of the partition, which have neighbours in others."""
-    part = TaskContext.get().partitionId()
-    held: pd.DataFrame | None = None
-    first: pd.DataFrame | None = None
-
-    for pdf in batches:
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        if first is None or len(first) < NEAR:
-            first = held.iloc[:NEAR]
-        yield _placed(held).assign(part=-1, head=False, seed=0, places=None, before=None, after=None)
-        held = held.iloc[-NEAR:]
-    if held is not None and len(held):
-        for rows, head in ((first, True), (held, False)):
-            yield rows.assign(start=-1, stop=-1, part=part, head=head)
-
-
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passages between the last records of a partition and the first of the next one that has any."""
-    whole = [pdf for pdf in batches if len(pdf)]
-    if not whole:
-        return
-    for _, g in pd.concat(whole).groupby("gap", sort=False):
-        yield _placed(pd.concat([g[~g["head"]], g[g["head"]]]))
-
-
-def _sorted_passages(records: DataFrame, *order: str) -> DataFrame:
-    spark = records.sparkSession
-    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLED))  # keys are long, and the driver gets them
-    dealt = records.repartitionByRange(partitions(spark), "seed", *order, "doc").sortWithinPartitions("seed", *order, "doc")
-    schema = "doc long, start long, stop long, later boolean, part int, head boolean, seed long, places array<int>, before binary, after binary"
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _neighbours(batches):
-            yield out[columns]
-
-    found = stage(dealt.mapInPandas(run, schema), "sa-sorted")
-    ends = found.where("part >= 0")
-    parts = ends.select("part").distinct().withColumn("before_it", F.lag("part").over(W.orderBy("part")))  # a row a partition
-    gaps = ends.join(parts, "part").withColumn("gap", F.when(F.col("head"), F.col("before_it")).otherwise(F.col("part"))).where("gap is not null")
-    between = gaps.repartition(partitions(spark), "gap").sortWithinPartitions("gap", "head", "seed", *order, "doc").mapInPandas(_across, "doc long, start long, stop long, later boolean")
-    return found.where("part < 0").select("doc", "start", "stop", "later").union(between)
+            seeds = rolled(words, SEED)
+            live = np.zeros(len(seeds), dtype=bool)
+            live[np.asarray(pdf["live"].iat[k], dtype=np.int64)] = True
+            at = np.flatnonzero(live[selected(seeds, LENGTH - SEED + 1)])
+            # runs of SEED words that cover the window name it
+            named = np.zeros(len(at), dtype=np.uint64)
+            for off in (*range(0, LENGTH - SEED, SEED), LENGTH - SEED):
+                named = named * _Q + seeds[at + off]
+            named = mix(named).astype(np.int64)
+            rows = [(pdf["id"].iat[k], named[i : i + RECORD], at[i : i + RECORD].astype(np.int32)) for i in range(0, len(at), RECORD)]
+            yield pd.DataFrame(rows, columns=["doc", "windows", "starts"])
 
 
 _SPANS = "array<struct<start:long,stop:long>>"
 
 
-def _merged(spans: Column) -> Column:
-    """Spans joined where they touch."""
+def _merged(starts: Column) -> Column:
+    """Spans of the windows that start at ``starts``, joined where they touch."""
 
     def run(rows: pd.Series) -> pd.Series:
         out = []
         for row in rows:
-            done: list[list[int]] = []
-            for a, b in sorted((s["start"], s["stop"]) for s in (row if row is not None else ())):
-                if done and a <= done[-1][1]:
-                    done[-1][1] = max(done[-1][1], b)
-                else:
-                    done.append([a, b])
-            out.append([{"start": a, "stop": b} for a, b in done])
+            at = np.unique(np.asarray(row, dtype=np.int64))
+            first = np.flatnonzero(np.diff(at, prepend=-LENGTH - 1) > LENGTH)
+            last = np.append(first[1:], len(at)) - 1
+            out.append([{"start": a, "stop": b + LENGTH} for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)] if len(at) else [])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, _SPANS)(spans)
+    return F.pandas_udf(run, _SPANS)(starts)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -210,10 +121,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     a smaller id also has, which is what goes when one occurrence of each passage stays. Words are the longest runs without
     white space, A-Z lower-cased. Suffixes are retained where the hash of their first SEED words is the least in a window, so
     that every passage of LENGTH words retains one in all its occurrences. Seeds that occur in one document only go at once.
-    The others are sorted by what follows the seed, and again by what precedes it; each suffix is compared with its NEAR
-    neighbours of either side in both orders, also across partitions, and matches are extended left and right. Of more
-    occurrences of a seed that share less on both sides than others do, the nearest are compared. Sorting splits frequent
-    seeds; texts are read twice and shuffled once, to meet the places of their suffixes that are left.
+    Around the others every window of LENGTH words that retains them is named by a hash, and the least and the greatest
+    document of each window decide whether it repeats, and in which documents it is later: a document that shares the seed, but
+    not the window, has no say. A window retains one suffix, so there are at most as many as words, and a frequent seed or
+    window is joined in parts; texts are read twice and shuffled once, to meet the places of their suffixes that are left.
 
     Documents of equal word sequences are one here: all of them repeat from end to end. Null, empty and shorter texts and null
     ids give no rows; rows repeated under one id are one document. Other columns are ignored.
@@ -227,15 +138,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     same = [F.col(f"s.{c}") == F.col(f"k.{c}") for c in ("n", "c1", "c2")]
     firsts = signed.alias("s").join(named.alias("k"), [*same, F.col("s.doc_id") == F.col("k.id")]).select("k.id", "s.n", "s.c1", "s.c2", "s.seeds", "s.places").dropDuplicates(["id", "c1", "c2"])
     anchors = stage(firsts.select("id", "n", "c1", "c2", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("id", "n", "c1", "c2", F.col("a.seeds").alias("seed"), F.col("a.places").alias("place")), "sa-anchors")
-    often = stage(anchors.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("seed", "least"), "sa-often")
-    live = anchors.join(often, "seed").groupBy("id", "n", "c1", "c2").agg(F.collect_list(F.struct("place", (F.col("id") > F.col("least")).alias("later"))).alias("live"))
-    live = stage(live, "sa-live")
+    often = stage(anchors.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("seed"), "sa-often")
+    live = stage(anchors.join(often, "seed").groupBy("id", "n", "c1", "c2").agg(F.collect_list("place").alias("live")), "sa-live")
     texts = docs.join(live, F.col("doc_id") == F.col("id")).select("id", "n", "c1", "c2", "live", "text")
-    records = stage(texts.mapInPandas(_contexts, _RECORD), "sa-records")
-    passages = stage(_sorted_passages(records, "after", "before").union(_sorted_passages(records, "before", "after")), "sa-passages")
-    span = F.struct("start", "stop")
-    by_doc = passages.groupBy("doc").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("later"), span)).alias("some"))
-    by_doc = by_doc.select(F.col("doc").alias("id"), _merged(F.col("all")).alias("spans"), _merged(F.col("some")).alias("later"))
+    records = stage(texts.mapInPandas(_windows, "doc long, windows array<long>, starts array<int>"), "sa-records")
+    shared = stage(records.select("doc", F.explode("windows").alias("window")).groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("window", "least"), "sa-shared")
+    each = records.select("doc", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("doc", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
+    passages = each.join(shared, "window").select("doc", "start", (F.col("doc") > F.col("least")).alias("later"))
+    by_doc = passages.groupBy("doc").agg(F.collect_list("start").alias("all"), F.collect_list(F.when(F.col("later"), F.col("start"))).alias("some"))
+    by_doc = stage(by_doc.select(F.col("doc").alias("id"), _merged(F.col("all")).alias("spans"), _merged(F.col("some")).alias("later")), "sa-passages")
     by_class = named.join(by_doc, "id", "left").where("id <> top or spans is not null")
     out = signed.select("doc_id", "n", "c1", "c2").distinct().alias("s").join(by_class.alias("k"), same)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("s.n").alias("stop")))

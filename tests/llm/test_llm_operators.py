@@ -221,6 +221,42 @@ def test_passages_of_the_table(spark, docs):
     assert found == _repeats(rows(docs, "doc_id", "text"))
 
 
+def _later(data, length=50):
+    """Repeated windows that a smaller id has too, as spans."""
+    words = {i: t.split() for i, t in data}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - length + 1):
+            first.setdefault(tuple(words[i][k : k + length]), i)
+    out = {}
+    for i, w in words.items():
+        hit = np.zeros(len(w), dtype=bool)
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < i:
+                hit[k : k + length] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).view(np.int8)))
+        out[i] = ",".join(f"{a}:{b}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+    return out
+
+
+def test_later_passages_ignore_documents_with_a_frequent_line_only(spark):
+    rng = np.random.default_rng(14)
+    new = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, size=n))
+    line = new(45)
+    passages = [f"{new(6)} {line} {new(9)}" for _ in range(4)]
+    data = [(1, f"{new(30)} {line} {new(30)}")]
+    for k, p in enumerate(passages):
+        data += [(5 + 10 * k, f"{new(20)} {p} {new(20)}"), (9 + 10 * k, f"{new(7)} {p} {new(7)}")]
+    # a passage of many documents, each with words of its own around it
+    data += [(100 + k, f"{new(40)} {passages[0]} {new(40)}") for k in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: r["later"] for r in suffixes.passage_digest(suffixes.repeated_passages(df)).collect()}
+    want = _later(data)
+    assert want[5] == "" and want[9] == "7:67" and found == {i: x for i, x in want.items() if i != 1}
+    left = dict(rows(suffixes.without_repeats(df), "doc_id", "text"))
+    assert all(sum(p in t for t in left.values()) == 1 for p in passages)
+
+
 # --- near copies
 
 
