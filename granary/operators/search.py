@@ -29,7 +29,8 @@ def knn(nodes: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ()
     ``nodes`` has chunk_id, embedding and ``keys`` (searched apart, like levels or documents); ``queries`` has qid and embedding.
     The query set is small beside the nodes: it is collected as matrices of at most QUERY_BLOCK rows, each node partition
     keeps its own best k of each query by one matrix product a batch, and only these meet in the window that ranks them. So
-    nodes are scanned once a block and never shuffled. Distances are recomputed in doubles.
+    nodes are scanned once a block and never shuffled. Distances are recomputed in doubles for all that the product can't tell
+    from the k-th, and equal ones are ordered by id before any is dropped.
     """
     wanted = queries.select("qid", "embedding").where("embedding is not null")
     return _by_blocks(wanted, lambda block: _knn_block(nodes, block, k, keys, metric, exclude_self))
@@ -65,13 +66,21 @@ def _knn_block(nodes: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ..
             for key, part in groups:
                 x = np.array(part["embedding"].tolist(), dtype=np.float64)
                 ids = part["chunk_id"].to_numpy()
-                rough = square[:, None] - 2 * q @ x.T + (x**2).sum(axis=1)
-                take = min(len(ids), k + 8)
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(names), 1))
+                norm = (x**2).sum(axis=1)
+                rough = square[:, None] - 2 * q @ x.T + norm
+                take = min(len(ids), k + exclude_self)
+                # all that may be as near as the last taken, but for rounding: ties are decided by distance and id below
+                margin = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (square + np.nanmax(norm, initial=0.0))
+                cut = np.partition(rough, take - 1, axis=1)[:, take - 1] + margin
+                place = np.empty(len(ids), dtype=np.int64)
+                place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
                 for row, name in enumerate(names):
-                    exact = ((q[row] - x[near[row]]) ** 2).sum(axis=1)
+                    near = np.flatnonzero(~(rough[row] > cut[row]))
+                    exact = ((q[row] - x[near]) ** 2).sum(axis=1)
+                    exact = np.sqrt(exact) if metric == "l2" else exact
+                    first = np.lexsort((place[near], exact))[:take]
                     slot = best.setdefault((name, key), [])
-                    slot += [(d, c) for d, c in zip(exact.tolist(), ids[near[row]].tolist(), strict=True) if not (exclude_self and c == name)]
+                    slot += [(d, c) for d, c in zip(exact[first].tolist(), ids[near[first]].tolist(), strict=True) if not (exclude_self and c == name)]
                     if len(slot) > 4 * k + 64:
                         slot.sort()
                         del slot[k:]
@@ -79,7 +88,6 @@ def _knn_block(nodes: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ..
         yield pd.DataFrame(rows, columns=["qid", "chunk_id", *keys, "distance"])
 
     near = nodes.select("chunk_id", *keys, "embedding").mapInPandas(run, schema)
-    near = near.withColumn("distance", F.sqrt("distance")) if metric == "l2" else near
     out = near.withColumn("score", relevance(F.col("distance")))
     order = W.partitionBy("qid", *keys).orderBy("distance", "chunk_id")
     return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

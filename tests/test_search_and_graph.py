@@ -234,3 +234,17 @@ def test_overlap_ranks_every_text_for_every_query(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 63 * 5
     few = search.most_overlap(docs.where("doc_id >= 148").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), df(spark, [("q", "zz")], "qid string, query string"), 9)
     assert [(r["chunk_id"], r["score"]) for r in few.orderBy("rank").collect()] == [("148", 0.0), ("149", 0.0), ("151", 0.0), ("150", None)]
+
+
+def test_search_keeps_the_least_ids_of_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    same, far = [rng.standard_normal(16).tolist() for _ in range(3)], [(2 + rng.standard_normal(16)).tolist() for _ in range(300)]
+    vectors = [*(v for v in same for _ in range(300)), *far]
+    nodes = df(spark, [(f"{i:04}", vectors[j]) for i, j in enumerate(rng.permutation(len(vectors)).tolist())], "chunk_id string, embedding array<double>").coalesce(1)
+    q = nodes.where("chunk_id < '0040'").select(F.col("chunk_id").alias("qid"), "embedding")
+    want = search.knn_sql(nodes, q, 11).where("qid <> chunk_id")
+    want = search.ranked(want.drop("rank"), 10).select("qid", "rank", "chunk_id")
+    got = search.knn(nodes, q, 10, exclude_self=True).select("qid", "rank", "chunk_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    one = search.knn(nodes, df(spark, [("q", same[0])], "qid string, embedding array<double>"), 10).orderBy("rank").select("chunk_id")
+    assert [r[0] for r in one.collect()] == sorted(r["chunk_id"] for r in nodes.where(F.col("embedding") == F.array(*map(F.lit, same[0]))).collect())[:10]
