@@ -393,7 +393,7 @@ def refined_vectors(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    return tree.hierarchy(leaves(spark, sf_dir), models.summarize, models.embed, most=6)
+    return tree.hierarchy(leaves(spark, sf_dir), models.summarize, models.embed)
 
 
 @query()
@@ -403,7 +403,7 @@ def tree_levels(spark, sf_dir):
 
 @query()
 def corpus_tier(spark, sf_dir):
-    return tree.corpus_tier(_tree(spark, sf_dir), models.summarize, models.embed, most=6).select("chunk_id", "level", F.size("child_ids").alias("children"))
+    return tree.corpus_tier(_tree(spark, sf_dir), models.summarize, models.embed).select("chunk_id", "level", F.size("child_ids").alias("children"))
 
 
 @query()

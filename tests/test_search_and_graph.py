@@ -248,3 +248,14 @@ def test_search_keeps_the_least_ids_of_equal_vectors(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     one = search.knn(nodes, df(spark, [("q", same[0])], "qid string, embedding array<double>"), 10).orderBy("rank").select("chunk_id")
     assert [r[0] for r in one.collect()] == sorted(r["chunk_id"] for r in nodes.where(F.col("embedding") == F.array(*map(F.lit, same[0]))).collect())[:10]
+
+
+def test_hierarchies_have_as_many_summaries_as_clusters(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16))
+    points = np.concatenate([c + 0.02 * rng.standard_normal((15, 16)) for c in centres]).tolist()
+    for name, label in (("one", lambda i: 0), ("many", lambda i: i // 3)):
+        df(spark, [(i, p, label(i)) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label long").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    first = [r["n"] for r in queries.tree_levels(spark, str(tmp_path / "one")).where("level = 1").collect()]
+    assert first == [len(tree.clusters(np.array(points, dtype=np.float32).astype(np.float64)))] and first[0] >= 12
+    assert queries.corpus_tier(spark, str(tmp_path / "many")).count() >= 12
