@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import embeddings, licenses, minhash, mixing, packing, pii, quality, suffixes, toxicity
+from granary.llm.common import hashed_words
 from granary.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -257,6 +258,20 @@ def test_later_passages_ignore_documents_with_a_frequent_line_only(spark):
     assert all(sum(p in t for t in left.values()) == 1 for p in passages)
 
 
+def test_passages_whose_seed_has_many_variants(spark):
+    rng = np.random.default_rng(15)
+    new = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, size=n))
+    place = -1
+    while place != 17:  # the seed itself is selected, not one that overlaps what is before or after it
+        before, seed, after = new(17), new(16), new(17)
+        place = suffixes.rolled(hashed_words([f"{before} {seed} {after}".encode()])[0], suffixes.SEED).argmin()
+    # hundreds share more with each of the two than the two's neighbours in any order, and under 50 words with anyone
+    data = [(k, f"{new(60)} {seed} {after} {new(60)}") for k in range(2, 302)] + [(k, f"{new(60)} {before} {seed} {new(60)}") for k in range(302, 602)]
+    data += [(k, f"{new(60)} {before} {seed} {after} {new(60)}") for k in (1, 900)]
+    found = suffixes.passage_digest(suffixes.repeated_passages(spark.createDataFrame(data, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["spans"], r["later"]) for r in found} == {1: ("60:110", ""), 900: ("60:110", "60:110")}
+
+
 # --- near copies
 
 
