@@ -514,12 +514,12 @@ def bootstrap_means(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_intervals(_config_scores(spark, sf_dir), resamples=2000)
+    return stats.bootstrap_intervals(_config_scores(spark, sf_dir))
 
 
 @query()
 def compare_configs(spark, sf_dir):
-    return stats.compared(_config_scores(spark, sf_dir), "c0", resamples=2000)
+    return stats.compared(_config_scores(spark, sf_dir), "c0")
 
 
 def _p_values(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Search, fusion, graphs, spans and decisions on small hand-made tables."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +261,15 @@ def test_hierarchies_have_as_many_summaries_as_clusters(spark, tmp_path):
     first = [r["n"] for r in queries.tree_levels(spark, str(tmp_path / "one")).where("level = 1").collect()]
     assert first == [len(tree.clusters(np.array(points, dtype=np.float32).astype(np.float64)))] and first[0] >= 12
     assert queries.corpus_tier(spark, str(tmp_path / "many")).count() >= 12
+
+
+def test_bootstrap_queries_take_the_default_resamples(spark, monkeypatch):
+    seen = []
+    for name in ("bootstrap_intervals", "compared"):
+        real = getattr(stats, name)
+        call = lambda *a, real=real, **b: seen.append(inspect.signature(real).bind(*a, **b)) or real(*a, **b)
+        monkeypatch.setattr(stats, name, call)
+    assert queries.bootstrap_ci(spark, "/root/testdata/sf0.001").count() == 5 and queries.compare_configs(spark, "/root/testdata/sf0.001").count() == 4
+    for bound in seen:
+        bound.apply_defaults()
+    assert len(seen) >= 2 and {b.arguments["resamples"] for b in seen} == {10_000}
