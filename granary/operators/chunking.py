@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from granary.functions.text import language_for
 
 #: Where prose is cut, coarse to fine.
 CUTS = ("\n\n", "\n", ". ", " ")
+_LINE_END = re.compile("\r\n|\r|\n")
+_BLANK_LINE = re.compile("^[^\\S\n]*\n", re.MULTILINE)
 
 
 def prose_spans(text: str, target: int) -> list[tuple[int, int]]:
@@ -40,19 +43,24 @@ def prose_spans(text: str, target: int) -> list[tuple[int, int]]:
     return merged
 
 
+def statement_starts(text: str) -> set[int]:
+    """Where the top-level statements of Python code start; none where it doesn't parse, or is nested too deeply for the parser.
+
+    Lines are those of the parser: ended by a newline alone, by a carriage return or by both; a form feed ends none.
+    """
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return set()
+    starts = [0, *[m.end() for m in _LINE_END.finditer(text)]]
+    return {starts[min([n.lineno, *[d.lineno for d in getattr(n, "decorator_list", [])]]) - 1] for n in body}
+
+
 def code_spans(text: str, target: int, language: str) -> list[tuple[int, int]]:
     """Spans of whole top-level statements (Python) or of parts between blank lines, up to the target."""
-    lines = text.splitlines(keepends=True)
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line))
-    cuts = {0, len(text)}
-    try:
-        cuts |= {starts[min([n.lineno, *[d.lineno for d in getattr(n, "decorator_list", [])]]) - 1] for n in ast.parse(text).body} if language == "python" else set()
-    except (SyntaxError, ValueError):
-        pass
+    cuts = {0, len(text)} | (statement_starts(text) if language == "python" else set())
     if len(cuts) == 2:
-        cuts |= {starts[k + 1] for k, line in enumerate(lines) if not line.strip()}
+        cuts |= {m.end() for m in _BLANK_LINE.finditer(text)}
     edges, out = sorted(cuts), []
     for a, b in zip(edges, edges[1:], strict=False):
         if out and b - out[-1][0] <= target:
@@ -71,7 +79,8 @@ def chunked(sections: DataFrame, prose_target: int = 1500, prose_min: int = 100,
     """(chunk_id, document_id, chunk_index, content, char_start, char_end, page_number, section_name, language, filename) of sections.
 
     ``sections`` has document_id, filename, text, char_start and optionally page_number and section_name. Short prose goes,
-    code stays; chunk_index counts what is kept, over a document's sections in order of their start.
+    code stays; chunk_index counts what is kept, over a document's sections in order of their start. Null and blank texts give
+    no chunk; sections that start at one place follow each other by their text.
     """
     rows = sections.select("document_id", "filename", "text", F.coalesce("char_start", F.lit(0)).alias("at"), *[(F.col(c) if c in sections.columns else F.lit(None).cast(t)).alias(c) for c, t in (("page_number", "int"), ("section_name", "string"))])
     rows = rows.withColumn("language", language_for(F.col("filename")))
@@ -85,7 +94,7 @@ def chunked(sections: DataFrame, prose_target: int = 1500, prose_min: int = 100,
 
     parts = rows.withColumn("c", F.explode(F.pandas_udf(cut, _CHUNK)("text", "language")))
     kept = parts.where(F.col("language").isNotNull() | (F.length(F.btrim(F.col("c.content"), F.lit(" \t\n\r"))) >= prose_min))
-    order = W.partitionBy("document_id").orderBy("at", "c.start")
+    order = W.partitionBy("document_id").orderBy("at", "text", "c.start")
     out = kept.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int"))
     return out.select(
         F.concat_ws(":", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", F.col("c.content").alias("content"), (F.col("at") + F.col("c.start")).alias("char_start"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,33 +25,79 @@ def judged_chunks(gold: DataFrame, chunks: DataFrame, least: float = 0.5) -> Dat
 def located(snippets: DataFrame, documents: DataFrame, least: float = 0.8) -> DataFrame:
     """``snippets`` (document_id, snippet) with char_start and char_end in the document; null where nothing is close enough.
 
-    Exact places come from a string search; only the misses go to a sequence alignment in Python.
+    Exact places come from a string search. For the misses alone the longest run of characters that the two share is looked up
+    in Python; it lines the snippet up with the text, and the text beneath the snippet is taken where it is similar enough.
     """
     clean = F.btrim(F.col("snippet"), F.lit(" \t\n\r"))
     both = snippets.join(documents.select("document_id", F.col("text").alias("__text")), "document_id", "left")
-    at = F.when(F.length(clean) > 0, F.instr(F.col("__text"), clean))
-
-    def align(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([aligned(t, s, least) for t, s in zip(texts, wanted, strict=True)], dtype=object)
-
-    exact = both.withColumn("__at", at)
-    near = F.pandas_udf(align, "array<int>")(F.when(F.col("__at") == 0, F.col("__text")), clean)
-    out = exact.withColumn("__near", near)
-    start = F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(F.col("__near")[0])
-    stop = F.when(F.col("__at") > 0, F.col("__at") - 1 + F.length(clean)).otherwise(F.col("__near")[1])
-    return out.withColumn("char_start", start).withColumn("char_end", stop).drop("__text", "__at", "__near")
-
-
-def aligned(text: str | None, snippet: str | None, least: float) -> list[int] | None:
-    """The window of a text around the longest common block, as long as the snippet, if it is similar enough."""
-    if not text or not snippet:
-        return None
-    block = SequenceMatcher(None, text, snippet, autojunk=False).find_longest_match()
-    if not block.size:
-        return None
-    offset = block.a - block.b
-    start, stop = max(0, offset), min(len(text), max(block.a + block.size, offset + len(snippet)))
-    return [start, stop] if SequenceMatcher(None, text[start:stop], snippet).ratio() >= least else None
+    exact = both.withColumn("__at", F.when(F.length(clean) > 0, F.instr(F.col("__text"), clean)))
+    missed = F.col("__at") == 0
+    near = exact.withColumn("__run", F.pandas_udf(_runs, "struct<at:int,inside:int,size:int>")(F.when(missed, F.col("__text")), F.when(missed, clean)))
+    lined_up = F.col("__run.at") - F.col("__run.inside")
+    start = F.greatest(F.lit(0), lined_up)
+    stop = F.least(F.length("__text"), F.greatest(F.col("__run.at") + F.col("__run.size"), lined_up + F.length(clean)))
+    near = near.withColumn("__start", start).withColumn("__stop", stop)
+    beneath = F.substring(F.col("__text"), F.col("__start") + 1, F.col("__stop") - F.col("__start"))
+    alike = F.pandas_udf(_similarity, "double")(F.when(F.col("__run.size") > 0, beneath), clean) >= least
+    out = near.withColumn("char_start", F.when(F.col("__at") > 0, F.col("__at") - 1).when(alike, F.col("__start")))
+    out = out.withColumn("char_end", F.when(F.col("__at") > 0, F.col("__at") - 1 + F.length(clean)).when(F.col("char_start").isNotNull(), F.col("__stop")))
+    return out.drop("__text", "__at", "__run", "__start", "__stop")
+
+
+def _similarity(texts: pd.Series, snippets: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or s is None else SequenceMatcher(None, t, s, autojunk=False).ratio() for t, s in zip(texts, snippets, strict=True)], dtype="Float64")
+
+
+def _runs(texts: pd.Series, snippets: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if not t or not s else longest_run(t, s) for t, s in zip(texts, snippets, strict=True)]
+    return pd.DataFrame(rows, columns=["at", "inside", "size"], dtype="Int32")
+
+
+def longest_run(text: str, snippet: str) -> tuple[int, int, int]:
+    """(place in the text, place in the snippet, length) of the longest run of characters in both, the first of the text's, then of the snippet's.
+
+    Whether runs of a length are shared falls with the length, so it is found by halving; hashes of all runs of a length are
+    differences of prefix sums. Hashes that agree are confirmed on the characters.
+    """
+    a, b = (_prefix_sums(x) for x in (text, snippet))
+    low, high = 0, min(len(text), len(snippet))
+    best = (0, 0, 0)
+    while low < high:
+        size = (low + high + 1) // 2
+        if found := _shared(text, snippet, a, b, size):
+            low, best = size, (*found, size)
+        else:
+            high = size - 1
+    return best
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefix_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    power = np.full(len(points), _BASE, dtype=np.uint64)
+    power[:1] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(points * (points + _BASE) * power, out=sums[1:])
+    return sums, power
+
+
+def _shared(text: str, snippet: str, a: tuple, b: tuple, size: int) -> tuple[int, int] | None:
+    """The first places of a run of ``size`` characters that both have."""
+    (sums_a, power), (sums_b, _) = a, b
+    # a run's sum carries the power of its place: multiplying by the power that is missing makes places alike
+    top = max(len(text), len(snippet)) - size
+    full = power if len(power) > top else b[1]
+    lift = full[: top + 1][::-1]
+    here = (sums_a[size:] - sums_a[:-size]) * lift[: len(text) - size + 1]
+    there = (sums_b[size:] - sums_b[:-size]) * lift[: len(snippet) - size + 1]
+    for at in np.flatnonzero(np.isin(here, there)).tolist():
+        inside = snippet.find(text[at : at + size])
+        if inside >= 0:
+            return at, inside
+    return None
 
 
 def with_neighbours(hits: DataFrame, leaves: DataFrame, window: int = 200) -> DataFrame:

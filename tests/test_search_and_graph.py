@@ -273,3 +273,45 @@ def test_bootstrap_queries_take_the_default_resamples(spark, monkeypatch):
     for bound in seen:
         bound.apply_defaults()
     assert len(seen) >= 2 and {b.arguments["resamples"] for b in seen} == {10_000}
+
+
+def test_code_that_no_parser_takes(spark):
+    deep = "(" * 100_000 + ")" * 100_000
+    form = "import a\n\x0cdef f():\n    return 'x\u2028y'\r\nclass A:\r\n    b = 1\n"
+    assert chunking.statement_starts(deep) == chunking.statement_starts("x = '\x00'") == set()
+    assert [form[a:b] for a, b in chunking.code_spans(form, 30, "python")] == ["import a\n", "\x0cdef f():\n    return 'x\u2028y'\r\n", "class A:\r\n    b = 1\n"]
+    s = df(spark, [("a", "a.py", deep, 0), ("b", "b.py", form, 0), ("c", "c.py", None, 0), ("d", "d.py", " \n\n", 0)], "document_id string, filename string, text string, char_start int")
+    rows = chunking.chunked(s).collect()
+    for doc, text in (("a", deep), ("b", form)):
+        assert "".join(r["content"] for r in sorted((r for r in rows if r["document_id"] == doc), key=lambda r: r["chunk_index"])) == text
+    assert {r["document_id"] for r in rows} == {"a", "b"}
+
+
+def test_longest_run_is_the_first_of_the_longest():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        t, s = ("".join(rng.choice(list("abc d"), size=rng.integers(1, n))) for n in (60, 20))
+        n = max((k for k in range(1, len(s) + 1) if any(s[i : i + k] in t for i in range(len(s) - k + 1))), default=0)
+        at = min((t.find(s[i : i + n]) for i in range(len(s) - n + 1) if s[i : i + n] in t), default=0) if n else 0
+        assert spans.longest_run(t, s) == (at, s.find(t[at : at + n]), n)
+
+
+def test_facets_against_a_loop(spark):
+    rng = np.random.default_rng(13)
+    rows = [(str(q), f"c{c}", float(rng.random()), rng.random(3).tolist()) for q in range(20) for c in range(int(rng.integers(1, 9)))]
+    c = df(spark, rows, "qid string, chunk_id string, score double, relevance array<double>")
+    found = decide.covered_order(c, 4, 0.3).collect()
+    for q in {r[0] for r in rows}:
+        mine = {i: (s, np.array(v)) for x, i, s, v in rows if x == q}
+        lo, hi = (f(s for s, _ in mine.values()) for f in (min, max))
+        left, order, cover = sorted(mine, key=lambda i: -mine[i][0]), [], np.zeros(3)
+        while left and len(order) < 4:
+            adds = {i: np.maximum(mine[i][1] - cover, 0).sum() for i in left}
+            low, high = min(adds.values()), max(adds.values())
+            worth = {i: 0.7 * ((adds[i] - low) / (high - low) if high > low else 0) + 0.300001 * ((mine[i][0] - lo) / (hi - lo) if hi > lo else 0) for i in left}
+            pick = max(left, key=worth.get)
+            order.append(pick)
+            left.remove(pick)
+            cover = np.maximum(cover, mine[pick][1])
+        assert [r["chunk_id"] for r in sorted((r for r in found if r["qid"] == q), key=lambda r: r["rank"])] == order + left
+    assert decide.covered_order(c.where("false"), 4).collect() == []
