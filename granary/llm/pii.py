@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _octet(digits: str) -> bool:
+    """Whether digits are a number of at most 255, however many zeros lead it."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`` found from each @, in time linear in the text."""
     out, end, at = [], 0, text.find("@")
@@ -77,7 +85,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if _DOTTED.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_octet(p) for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() >= 16:
@@ -127,13 +135,27 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     base = [(k, a, b, _score(k, text, a, b)) for k, a, b in base_spans(text)]
-    taken = [(a, b) for _, a, b, _ in base]
+    starts, ends = _covered((a, b) for _, a, b, _ in base)
     for k, a, b in _added(text):
-        if (s := _score(k, text, a, b)) >= LEAST and not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)  # of the stretches that start before the span ends the last one ends last
+        if (s := _score(k, text, a, b)) >= LEAST and not (before and ends[before - 1] > a):
             base.append((k, a, b, s))
     return sorted(base, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def _covered(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, apart and in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 

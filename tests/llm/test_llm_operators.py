@@ -360,7 +360,7 @@ def test_labeller_accuracies_are_recovered():
 
 def _base_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p[-400:]) <= 255 and not p[:-400].strip("0") for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[ -]", "", m[0])
         if 16 <= len(d) <= 19 and pii.luhn(d):
@@ -393,6 +393,43 @@ def test_pii_checksums_context_and_redaction():
     assert pii.find_spans("a" * 200_000 + " " + "1" * 200_000) == []
 
 
+def _added_pii(t):
+    """Added spans by other means: every place is tried, and overlaps are looked for one by one."""
+    out, base = [], _base_pii(t)
+    near = lambda a, b, cues: any(c in f"{t[max(0, a - 40) : a]} {t[b : b + 40]}".lower() for c in cues)
+    at = 0
+    while m := re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").search(t, at):
+        at, size = m.end(), pii.IBAN_LENGTHS.get(m[0][:2], 0)
+        ends = [e for e in range(m.start(), m.end() + 1) if len(t[m.start() : e].replace(" ", "")) == size]
+        code = t[m.start() : ends[0]].replace(" ", "") if size and ends else ""
+        if code and not re.match("[A-Za-z0-9]", t[ends[0] : ends[0] + 1]) and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in code[4:] + code[:4])) % 97 == 1:
+            out.append(("iban", m.start(), ends[0]))
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t):
+        area, group, serial = map(int, m[0].split("-"))
+        if area not in (0, 666) and area < 900 and group and serial and near(m.start(), m.end(), ("ssn", "social security")):
+            out.append(("ssn", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([ -]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if len(d) == 15 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0 and near(m.start(), m.end(), ("imei", "device", "handset")):
+            out.append(("imei", m.start(), m.end()))
+    return [s for s in out if not any(a < s[2] and s[1] < b for _, a, b in base)]
+
+
+def test_added_pii_equals_brute_force():
+    rng = np.random.default_rng(17)
+    parts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789", "666-12-3456", "imei 490154203237518", "device",
+             "49-015420-323751-8", "4111 1111 1111 1111", "+1 490154203237518", "a@b.org", "1.2.3.4", "x", "9", " ", "-", "IBAN", "social security"]
+    for _ in range(3000):
+        t = "".join(str(rng.choice(parts)) + str(rng.choice(["", " ", ". ", "\n"])) for _ in range(int(rng.integers(1, 9))))
+        assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.ADDED_KINDS] == sorted(_added_pii(t), key=lambda s: (pii.KINDS.index(s[0]), s[1])), t
+
+
+def test_pii_of_long_and_zero_filled_texts(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1.2.3." + "0" * 9000 + "4 " + "9" * 9000 + ".1.1.1", "a@b.org 123-45-6789 ssn " * 40_000, "+" + "1" * 50_000, "card 4111 1111 1111 1111, imei 490154203237518 " * 20_000]
+    found = rows(pii.span_digest(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")), "doc_id", "n_email", "n_ip", "n_card", "n_phone")
+    assert sorted(found) == [(0, 0, 1, 0, 0), (1, 0, 1, 0, 0), (2, 40_000, 0, 0, 0), (3, 0, 0, 0, 0), (4, 0, 0, 20_000, 0)]
+
+
 # --- packing
 
 
