@@ -439,8 +439,8 @@ def test_pack_whole_table(spark, docs, odd, none):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    for df in (docs, odd):
+    marks = spark.createDataFrame([(k, t) for k, t in enumerate(["a<|endoftext|>b", "<|EndOfText|> x", "x <|startoftext|>", "\u0130. \u0130\u0130!?", "a\x1cb \u0130c"])], "doc_id long, text string")
+    for df in (docs, marks, odd):
         got = rows(packing.pack(packing.token_pieces(df, path)), "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
         want = []
         for doc_id, text in rows(df, "doc_id", "text"):
@@ -460,17 +460,54 @@ def test_pack_whole_table(spark, docs, odd, none):
     assert rows(packing.pack(packing.token_pieces(none, path)), "doc_id") == []
 
 
+def test_ids_of_random_texts_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = np.random.default_rng(18)
+    pool = [chr(c) for c in range(1, 0x250)] + list(" .,!?'\n\t  aAbB") * 20 + ["\u0130"] * 20 + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\u03a3", "\ufb01", "e\u0301", "\u4e2d", "\u200b", "\u2028", "'s", "'LL"] * 3
+    texts = ["".join(rng.choice(pool, size=rng.integers(0, 30))) for _ in range(4000)]
+    for k in range(0, len(texts), 200):
+        for t, ids in zip(texts[k : k + 200], encoder.texts(texts[k : k + 200]), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_alike_pieces_are_dealt_to_many_ranges(spark):
+    alike = spark.createDataFrame([(None, 0, 0, 1, 7)] * 3000 + [(5, 0, 0, 4096, 8)] * 3, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    found = rows(packing.pack(alike), "length", "sequence_id", "offset")
+    assert len(found) == len(set(found)) == 3003 and sorted(r[2] for r in found if r[0] == 1) == list(range(3000)) and len({r[1] for r in found}) == 4
+
+
+def test_configurations_use_fewer_sequences_than_best_fit():
+    rng = np.random.default_rng(19)
+    for low, high, gain in ((1300, 1500, 0.05), (1025, 2400, 0.03), (1025, 4096, 0.0), (1, 4096, 0.0)):
+        counts = dict(collections.Counter(rng.integers(low, high, size=20_000).tolist()))
+        best, fit = packing.Plan.best(counts), packing.Plan(counts, configured=False)
+        assert best.sequences <= (1 - gain) * fit.sequences
+        taken, filled = collections.Counter(), collections.defaultdict(list)
+        for length, _, n, seq, offset in best.slots:
+            taken[length] += n
+            for k in range(n):
+                filled[seq + k].append((offset, length))
+        assert taken == counts and len(filled) == best.sequences
+        for parts in filled.values():
+            ends = [0, *(a + n for a, n in sorted(parts))]
+            assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(8)
     sizes = np.minimum(4096, rng.lognormal(6.5, 1.1, size=30_000).astype(int) + 1)
     counts = dict(collections.Counter(sizes.tolist()))
-    plan = packing.Plan(counts)
+    plan = packing.Plan.best(counts)
     used = collections.Counter()
     for length, _, count, _, _ in plan.slots:
         used[length] += count
     assert used == counts
     assert plan.sequences <= 1.01 * sizes.sum() / 4096 + 1
-    big = packing.Plan({k: v * 10**6 for k, v in counts.items()})
+    big = packing.Plan.best({k: v * 10**6 for k, v in counts.items()})
     assert len(big.slots) < 200_000
 
 
