@@ -80,6 +80,22 @@ def test_mixed_documents_follow_the_plan(docs):
     assert {k: v for k, v in plan.items() if v} == {k: v for k, v in words.items() if v}
 
 
+@pytest.mark.parametrize("repeats", [3, 40])
+def test_mixed_repeated_rows_keep_the_budget(spark, monkeypatch, repeats):
+    monkeypatch.setattr(mixing, "ALIKE", 7)
+    data = [(1, "a b c d", "en", "s", 7), (1, "a", "en", "s", 1), (1, "x y z w", "de", "s", 7), (None, "n m", None, "s", 3), (2, None, "en", "s", None), (3, "q r", "en", None, 3), (4, "big " * 50, "en", "t", 200)]
+    df = spark.createDataFrame(data * repeats, DOC)
+    plan = rows(mixing.mix_plan(df), "source", "size", "target", "taken")
+    assert len(plan) == len(data) * repeats and all(r[3] <= 3 * r[1] for r in plan)
+    want = {s: int(next(r[2] for r in plan if r[0] == s) + 1e-6) for s in ("s", "t", None)}
+    mixed = rows(mixing.mix_documents(df), "source", "text")
+    for source, words in want.items():
+        assert sum(r[3] for r in plan if r[0] == source) == words
+        assert sum(len((t or "").split()) for s, t in mixed if s == source) == words
+    assert sum(t is None for _, t in mixed) == repeats
+    assert sorted(mixed, key=str) == sorted(rows(mixing.mix_documents(df), "source", "text"), key=str)
+
+
 # --- vectors
 
 
