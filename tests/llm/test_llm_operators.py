@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -198,6 +199,62 @@ def test_license_rules_and_suppression():
     assert licenses.scan(None) == licenses.scan("")
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0',
+    "apache-1.1": "This product includes software developed by the Apache Software Foundation (http://www.apache.org/).",
+    "gpl-2.0-or-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3.0-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "fdl": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-4-clause": "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License)",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cddl-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "artistic-1.0-perl": "you can redistribute it and/or modify it under the same terms as Perl itself",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "cc0-1.0": "the author has waived all copyright and related or neighboring rights to this work",
+    "openssl": "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit",
+    "odbl-1.0": "made available under the Open Database License",
+}
+
+
+def test_license_notices_are_detected():
+    for label, notice in NOTICES.items():
+        assert label in licenses.scan(f"Some words before. {notice}, and after.").labels.split(","), label
+    assert len(licenses.SIGNATURES) > 150 and all(r.keywords for r in licenses.rules())
+    names = {label for label, *_ in licenses.SIGNATURES}
+    assert len(names) > 80
+
+
+def test_suppression_equals_a_loop_over_pairs():
+    rng = np.random.default_rng(20)
+    rule = licenses.rules()[0]
+    for _ in range(2000):
+        hits = [(int(a), int(a + n), rule) for a, n in zip(rng.integers(0, 30, size=12), rng.integers(1, 12, size=12), strict=True)]
+        want = []
+        for a, b, _ in hits:
+            if not any(x <= a and b <= y for x, y in want):
+                want.append((a, b))
+        assert [h[:2] for h in licenses._standing(hits)] == want
+
+
+def test_license_scan_of_ten_megabytes_takes_linear_time():
+    began = time.time()
+    found = licenses.scan("licensed under the MIT license; all rights reserved, and so on. " * 160_000)
+    assert time.time() - began < 60 and found.n_base == 160_000 and found.spans[-1][1:] == (11 * 159_999 + 5, 11 * 159_999 + 8)
+
+
 # --- repeated passages
 
 
