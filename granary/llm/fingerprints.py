@@ -9,31 +9,30 @@ from pyspark.sql import functions as F
 from granary.llm.common import partitions, stage
 
 #: Samples of a fingerprint, and how many of them one row computes.
-SAMPLES, AT_ONCE = 16, 4
+SAMPLES, AT_ONCE = 48, 12
 #: Ranges of ids are a few times as many as shuffle partitions, and cells that find a range a few times as many as ranges.
 RANGES, CELLS = 4, 16
+#: An id or null is dealt to several ranges only beyond so many rows.
+LEAST_ROWS = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _unit(bits: str) -> str:
-    return f"(({bits}) + 0.5D) / 16777216D"
-
-
 def _sample(k: int) -> str:
     """The least-value candidate of a term (hash h, log of weight log_w) in sample ``i * AT_ONCE + k``, as one long.
 
-    Consistent weighted sampling: r and c are Gamma(2, 1), minus the log of two uniforms, b is uniform, all drawn from hashes of
-    the term and the sample; t = floor(ln w / r + b), ln y = r (t - b), and the term of least ln a = ln c - ln y - r is taken.
-    The long holds ln a, scaled, above 32 bits that name (term, t), so that a plain minimum takes the sample.
+    Consistent weighted sampling: r and c are Gamma(2, 1), minus the log of two uniforms, b is uniform, all cut from one hash of
+    the term and the sample, 13 bits a uniform; t = floor(ln w / r + b), ln y = r (t - b), and the term of least
+    ln a = ln c - ln y - r is taken. The long holds ln a, scaled, above 32 bits that name (term, t), so that a plain minimum
+    takes the sample.
     """
-    one, two = f"xxhash64(h, i, {2 * k})", f"xxhash64(h, i, {2 * k + 1})"
-    u1, u2 = _unit(f"shiftrightunsigned({one}, 40)"), _unit(f"shiftrightunsigned({one}, 16) & 16777215")
-    u3, u4 = _unit(f"shiftrightunsigned({two}, 40)"), _unit(f"shiftrightunsigned({two}, 16) & 16777215")
-    b = f"(({two} & 65535) + 0.5D) / 65536D"
-    r = f"(- ln(({u1}) * ({u2})))"
+    bits = f"xxhash64(h, i, {k})"
+    u = lambda shift: f"((shiftrightunsigned({bits}, {shift}) & 8191) + 0.5D)"
+    unit = f"{1 / 8192.0**2!r}D"
+    b = f"(({bits} & 4095) + 0.5D) / 4096D"
+    r = f"(- ln({u(12)} * {u(25)} * {unit}))"
     t = f"floor(log_w / {r} + {b})"
-    log_a = f"ln(- ln(({u3}) * ({u4}))) - {r} * ({t} - {b} + 1D)"
-    return f"shiftleft(cast(({log_a} + 128D) * 8388608D as bigint), 32) | (xxhash64(h, {t}) & 4294967295)"
+    log_a = f"ln(- ln({u(38)} * {u(51)} * {unit})) - {r} * ({t} - {b} + 1D)"
+    return f"shiftleft(cast(({log_a} + 128D) * 8388608D as bigint), 32) | ((h ^ shiftleft({t}, 17)) & 4294967295)"
 
 
 def weighted_samples(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -62,16 +61,20 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def id_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """``docs`` with ``range``: consecutive ranges of doc_id of about equal row counts, the higher the id; null ids are in range -1.
+    """``docs`` with ``range``: consecutive ranges of doc_id of about equal row counts, the higher the id; null ids are lowest.
 
-    Quantiles of the ids (``ranges`` numbers) are looked up by cells of equal width, each of which lists the quantiles in it.
+    Quantiles of the ids (``ranges`` numbers) are looked up by cells of equal width, each of which lists the quantiles in it. An
+    id that more rows have than a range should hold, of which there are ``ranges`` at most, has a range of its own, and so have
+    null ids; such a range is dealt in parts by the text's hash and the place the row is read from, since its rows are ties.
     """
     spark = docs.sparkSession
     steps = [k / ranges for k in range(1, ranges)]
-    found = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *([F.percentile_approx("doc_id", steps, 10 * ranges).alias("q")] if steps else [])).first()
-    if found["lo"] is None:
-        return docs.withColumn("range", F.lit(-1))
-    cuts, lo, hi = sorted(set(found["q"] if steps else [])), int(found["lo"]), int(found["hi"])
+    found = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), *([F.percentile_approx("doc_id", steps, 10 * ranges).alias("q")] if steps else [])).first()
+    most = max(LEAST_ROWS, -(-int(found["n"]) // ranges))
+    hot = {r["doc_id"]: -(-int(r["n"]) // most) for r in docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()}
+    lo, hi = (0, 0) if found["lo"] is None else (int(found["lo"]), int(found["hi"]))
+    alone = {h for h in hot if h is not None}
+    cuts = sorted({*((found["q"] or []) if steps else []), *alone, *(h - 1 for h in alone if h > lo)})
     n = CELLS * ranges
     width = max(1, -(-(hi - lo + 1) // n))
     inside: dict[int, list[int]] = {}
@@ -84,25 +87,28 @@ def id_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     cells = F.broadcast(spark.createDataFrame(rows, "cell long, below int, cuts array<long>"))
     at = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long") if hi - lo >= 1 << 53 else F.expr(f"(doc_id - {lo}L) div {width}L")
     named = docs.withColumn("cell", at).join(cells, "cell", "left")
-    return named.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("below") + F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))))).drop("cell", "below", "cuts")
+    named = named.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("below") + F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))))).drop("cell", "below", "cuts")
+    parts = F.broadcast(spark.createDataFrame([*hot.items()], "hot long, parts int"))
+    named = named.join(parts, F.col("doc_id").eqNullSafe(F.col("hot")), "left")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("text") + F.col("read_at"), F.col("parts"))).otherwise(0)
+    return named.withColumn("range", F.col("range").cast("long") * (1 << 20) - part).drop("hot", "parts", "read_at")
 
 
 def _heads(ranged: DataFrame) -> DataFrame:
-    """(range, text) of the first document of each range, without a shuffle of texts: first its id, then the text of that id."""
-    ids = F.broadcast(ranged.where("doc_id is not null").groupBy("range").agg(F.max("doc_id").alias("doc_id")).drop("range"))  # a row a range
+    """(range, text) of the first document of each range, without a shuffle of texts: first its id, then the least text of that id."""
+    ids = F.broadcast(ranged.groupBy("range").agg(F.max("doc_id").alias("top")).select(F.col("range").alias("of"), "top"))  # a row a range
     first = W.partitionBy("range").orderBy("text")
-    named = ranged.join(ids, "doc_id", "left_semi").select("range", "text").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    nameless = ranged.where("doc_id is null").agg(F.min("text").alias("text")).where("text is not null").select(F.lit(-1).alias("range"), "text")
-    return named.union(nameless)
+    named = ranged.join(ids, (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")), "left_semi")
+    return named.select("range", "text").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """(range, pos, doc_id, text, edited): a document and its text with the last half replaced by the start of the next one's.
 
-    The next document is that of the next lower id (null ids last, ties by text); after the last comes the first. Texts are
-    shuffled once, by ranges of ids; what follows a range is joined from the heads of ranges.
+    The next document is that of the next lower id (null ids last, ties by text inside a range); after the last comes the
+    first. Texts are shuffled once, by ranges of ids; what follows a range is joined from the heads of ranges.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("read_at"))
     ranged = id_ranges(plain, RANGES * partitions(docs.sparkSession))
     order = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     rows = ranged.withColumn("pos", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
@@ -117,11 +123,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of ``docs``.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_edited_error, near_next_error), one row per row of ``docs``.
 
     Terms are words (longest runs without white space), weighted by their number. A fingerprint is ``samples`` numbers of 32
     bits in hexadecimal; equal texts have equal ones. Rows stay in the partition of their range from the one shuffle of the
-    texts on, through counting and sampling. Null texts are empty; texts without words have an empty fingerprint, which is
+    texts on, through counting and sampling. The errors are standard errors of the likenesses, by their number of samples. Null texts are empty; texts without words have an empty fingerprint, which is
     like another empty one (1) and unlike others (0). Null ids come after all others; ties and repeated rows follow each other
     in the order of their texts. One document alone follows itself. An empty table gives no rows. Other columns are ignored.
     """
@@ -148,4 +154,4 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return after.select(
         "doc_id", "n_chars", "edited_sha256", _text(F.col("own")).alias("fingerprint"), _text(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"), likeness(F.col("own"), F.col("next"), samples).alias("near_next"),
-    )
+    ).select("*", *[F.sqrt(F.col(c) * (1 - F.col(c)) / float(samples)).alias(f"{c}_error") for c in ("near_edited", "near_next")])
