@@ -103,6 +103,50 @@ SELECT doc_id, size, source_size, target,
 FROM cut
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"words AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents)"
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS usable
+  FROM embeddings),
+edges AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.usable AND b.usable AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT u AS id, u AS hit FROM edges UNION SELECT reach.id, edges.v FROM reach JOIN edges ON edges.u = reach.hit),
+least AS (SELECT id, min(hit) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT u, count(*) AS n FROM edges GROUP BY u)
+SELECT v.vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, coalesce(least.component_id, v.vec_id)::BIGINT AS component_id, coalesce(least.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN least ON least.id = v.vec_id LEFT JOIN degree ON degree.u = v.vec_id
+"""
+OP5_SQL = f"""
+WITH RECURSIVE {_WORDS},
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+each AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(x) AS x FROM sets, unnest(s) AS t(x)),
+edges AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT u AS id, u AS hit FROM edges UNION SELECT reach.id, edges.v FROM reach JOIN edges ON edges.u = reach.hit),
+least AS (SELECT id, min(hit) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id)::BIGINT AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON least.id = doc_id
+"""
+OP4_SQL = f"""
+WITH {_WORDS},
+windows AS MATERIALIZED (SELECT doc_id, len(w)::BIGINT AS n_words, i - 1 AS start, md5_number(array_to_string(w[i:i + 49], ' ')) AS name FROM words, unnest(range(1, len(w) - 48)) AS t(i)),
+shared AS (SELECT name, min(doc_id) AS least FROM windows GROUP BY name HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, n_words, start, doc_id > least AS later FROM windows JOIN shared USING (name)),
+sides AS (SELECT doc_id, n_words, start, 'spans' AS side FROM hits UNION ALL SELECT doc_id, n_words, start, 'later' FROM hits WHERE later),
+cut AS (SELECT *, coalesce(start - lag(start) OVER w > 50, true)::INTEGER AS new FROM sides WINDOW w AS (PARTITION BY doc_id, side ORDER BY start)),
+named AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, side ORDER BY start ROWS UNBOUNDED PRECEDING) AS part FROM cut),
+spans AS (SELECT doc_id, n_words, side, min(start) AS a, max(start) + 50 AS b FROM named GROUP BY doc_id, n_words, side, part)
+SELECT doc_id, n_words, (sum(b - a) FILTER (side = 'spans'))::BIGINT AS n_repeated, coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (side = 'spans'), '') AS spans,
+       coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (side = 'later'), '') AS later
+FROM spans GROUP BY doc_id, n_words
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -116,4 +160,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op4_repeated_passages": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
