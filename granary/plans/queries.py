@@ -376,7 +376,10 @@ def entailment_chains(spark, sf_dir):
     return search.ranked(found, 10, ties=("chain",)).select("qid", "chain", "score")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT a.vec_id, list(b.vec_id) AS early FROM e a JOIN e b ON b.vec_id < a.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.35 GROUP BY a.vec_id),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(early, []::BIGINT[]) AS early FROM e LEFT JOIN n USING (vec_id)),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(g.kept, o.early) THEN g.kept ELSE list_append(g.kept, o.vec_id) END FROM g JOIN o ON o.k = g.k + 1),
+d AS (SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)) SELECT e.vec_id::VARCHAR AS chunk_id, d.vec_id IS NOT NULL AS kept FROM e LEFT JOIN d USING (vec_id)""")
 def near_dup_keep(spark, sf_dir):
     l_ = leaves(spark, sf_dir).withColumn("position", F.col("vec_id"))
     return graph.near_duplicate_mask(l_, 0.35)
@@ -424,7 +427,14 @@ def top_nodes(spark, sf_dir):
 # --- learned parts
 
 
-@query()
+_FACETS = f"WITH {_V}, {_Q}, n AS ({_near('q', 12)}), c0 AS (SELECT n.qid, list({{'id': n.chunk_id, 'base': n.score, 'f': list_transform(v.e[1:4], lambda x: greatest(x, 0))}} ORDER BY n.score DESC, n.chunk_id) AS c, min(n.score) AS lo, max(n.score) AS hi, []::BIGINT[] AS taken, [0, 0, 0, 0]::DOUBLE[] AS cover FROM n JOIN v ON v.chunk_id = n.chunk_id GROUP BY n.qid)"
+for _k in range(1, 6):
+    _FACETS += f""", g{_k} AS (SELECT *, list_transform(range(1, len(c) + 1), lambda i: CASE WHEN NOT list_contains(taken, i) THEN list_sum(list_transform(range(1, 5), lambda f: greatest(c[i].f[f] - cover[f], 0))) END) AS gain FROM c{_k - 1}),
+v{_k} AS (SELECT *, list_transform(range(1, len(c) + 1), lambda i: (1 - 0.3::DOUBLE) * CASE WHEN list_max(gain) > list_min(gain) THEN (gain[i] - list_min(gain)) / (list_max(gain) - list_min(gain)) ELSE gain[i] * 0 END + (0.3::DOUBLE + 1e-6::DOUBLE) * CASE WHEN hi > lo THEN (c[i].base - lo) / (hi - lo) ELSE 0 END) AS worth FROM g{_k}),
+b{_k} AS (SELECT *, list_position(worth, list_max(worth))::BIGINT AS best FROM v{_k}), c{_k} AS (SELECT qid, c, lo, hi, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END AS taken, CASE WHEN best IS NULL THEN cover ELSE list_transform(range(1, 5), lambda f: greatest(cover[f], c[best].f[f])) END AS cover FROM b{_k})"""
+
+
+@query(_FACETS + ", o AS (SELECT qid, c, list_concat(taken, list_filter(range(1, len(c) + 1), lambda i: NOT list_contains(taken, i))) AS o FROM c5) SELECT qid, c[o[k]].id AS chunk_id, k AS rank FROM o, unnest(range(1, len(o) + 1)) AS t(k)")
 def facet_coverage(spark, sf_dir):
     found = search.knn(vectors(spark, sf_dir), asking(spark, sf_dir), 12, exclude_self=True).drop("rank")
     facets = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
@@ -571,7 +581,11 @@ def multi_evidence(spark, sf_dir):
     return _drafts(spark, sf_dir).where("n_spans >= 2").select("qid", "collection_id")
 
 
-@query()
+@query("""WITH d AS (SELECT source AS c, doc_id, CASE WHEN doc_id % 5 = 1 THEN 'code' ELSE lang END AS modality FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sha256(concat_ws(':', '42', c, doc_id::VARCHAR))) AS s, min(doc_id) FILTER (modality = 'code') OVER (PARTITION BY c) AS fc, min(doc_id) FILTER (modality <> 'code') OVER (PARTITION BY c) AS fo FROM d),
+k AS (SELECT c, count(DISTINCT modality) AS kinds FROM d GROUP BY c), m AS (SELECT s.*, kinds, row_number() OVER (PARTITION BY s.c, modality ORDER BY s) AS m FROM s JOIN k ON k.c IS NOT DISTINCT FROM s.c), t AS (SELECT *, sum((m = 1)::INTEGER) OVER (PARTITION BY c ORDER BY s ROWS UNBOUNDED PRECEDING) AS turn FROM m),
+p AS (SELECT *, CASE WHEN kinds >= 2 THEN m = 1 AND turn <= 2 ELSE s <= 2 END AS two, unnest(['code', 'factual', 'cross_document', 'multi_hop', 'thematic']) AS question_type FROM t)
+SELECT c AS collection_id, question_type, doc_id::VARCHAR AS doc_id FROM p WHERE CASE question_type WHEN 'code' THEN CASE WHEN fc IS NULL THEN s = 1 ELSE doc_id = fc END WHEN 'factual' THEN CASE WHEN fo IS NULL THEN s = 1 ELSE doc_id = fo END WHEN 'thematic' THEN s <= 4 ELSE two END""")
 def question_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return corpus.chosen_documents(d.select(F.col("source").alias("collection_id"), F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 5 == 1, "code").otherwise(F.col("lang")).alias("modality"), F.col("doc_id").alias("position")))
