@@ -22,6 +22,36 @@ def judged_chunks(gold: DataFrame, chunks: DataFrame, least: float = 0.5) -> Dat
     return met.where(covered >= least).groupBy("qid", "chunk_id").agg(F.max("grade").alias("grade"))
 
 
+#: Snippets that every task may hold.
+FEW = 100_000
+#: Words of the run by which a snippet is looked up.
+RUN = 4
+
+
+def holders(snippets: DataFrame, documents: DataFrame) -> DataFrame:
+    """(qid, document_id, snippet): the documents that hold a snippet (qid, snippet), white space around it aside.
+
+    A snippet's first and last word may be parts of a document's; the words between are whole in it. A run of RUN of these names
+    the snippet by a hash, as it does every place of a document, and what the hashes join is confirmed by a string search. Few
+    snippets are held by every task, so that documents are read once and not shuffled; more are joined by shuffling hashes.
+    Snippets of fewer words are looked for as they are, against all documents. Null and blank snippets are held by none.
+    """
+    white = r"[ \t\n\r]+"
+    clean = F.btrim(F.col("snippet"), F.lit(" \t\n\r"))
+    asked = snippets.select("qid", "snippet", clean.alias("__clean"), F.split(clean, white).alias("__w")).where("__clean <> ''")
+    run = lambda words, at: F.xxhash64(*[words[at + k] for k in range(RUN)])
+    long_ = asked.where(F.size("__w") >= RUN + 2).withColumn("__run", run(F.col("__w"), 1))
+    short = asked.where(F.size("__w") < RUN + 2)
+    hold = F.broadcast if snippets.limit(FEW + 1).count() <= FEW else (lambda x: x)
+    words = documents.select("document_id", "text", F.split("text", white).alias("__d"))
+    places = F.explode(F.sequence(F.lit(0), F.size("__d") - RUN))
+    hashed = words.where(F.size("__d") >= RUN).select("document_id", "__d", places.alias("__at")).select("document_id", run(F.col("__d"), F.col("__at")).alias("__run"))
+    met = hashed.join(hold(long_), "__run").select("qid", "document_id", "snippet", "__clean").distinct()
+    sure = met.join(documents.select("document_id", "text"), "document_id").where(F.contains("text", F.col("__clean")))
+    rest = documents.join(hold(short), F.contains("text", F.col("__clean")))
+    return sure.select("qid", "document_id", "snippet").union(rest.select("qid", "document_id", "snippet")).distinct()
+
+
 def located(snippets: DataFrame, documents: DataFrame, least: float = 0.8) -> DataFrame:
     """``snippets`` (document_id, snippet) with char_start and char_end in the document; null where nothing is close enough.
 

@@ -315,3 +315,24 @@ def test_facets_against_a_loop(spark):
             cover = np.maximum(cover, mine[pick][1])
         assert [r["chunk_id"] for r in sorted((r for r in found if r["qid"] == q), key=lambda r: r["rank"])] == order + left
     assert decide.covered_order(c.where("false"), 4).collect() == []
+
+
+def test_gold_documents_and_overlap_against_loops(spark):
+    """Every document against every snippet, by plain loops."""
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(str(k), " ".join(rng.choice(words, size=rng.integers(0, 60)))) for k in range(60)] + [("n", None), ("e", "")]
+    asked = []
+    for k in range(40):
+        text = docs[int(rng.integers(0, 60))][1] or ""
+        at = int(rng.integers(0, max(1, len(text))))
+        asked.append((str(k), text[at : at + int(rng.integers(1, 60))] + ("" if k % 3 else " ")))
+    asked += [("odd", "not there at all, not one word of it is there"), ("none", None), ("blank", "  ")]
+    d, q = df(spark, docs, "document_id string, text string"), df(spark, asked, "qid string, snippet string")
+    want = {(i, j) for i, s in asked for j, t in docs if s and s.strip() and t and s.strip() in t}
+    assert {(r["qid"], r["document_id"]) for r in spans.holders(q, d).collect()} == want and want
+    split = lambda t: set((t or "").lower().split())
+    best = {i: sorted(docs[:60], key=lambda d: (-len(split(s) & split(d[1])), d[0]))[:5] for i, s in asked[:40]}
+    found = search.most_overlap(d.where("text is not null").selectExpr("document_id as chunk_id", "text").where("chunk_id <> 'e'"), q.where("snippet is not null").selectExpr("qid", "snippet as query"), 5)
+    got = {(r["qid"], r["rank"]): r["chunk_id"] for r in found.collect()}
+    assert all(got[i, k + 1] == doc for i, mine in best.items() for k, (doc, _) in enumerate(mine))
