@@ -172,8 +172,9 @@ def route_anchors(spark, sf_dir):
     return f.select("qid", *[F.round(F.col("f")[k], _R).alias(n) for k, n in enumerate(("nearest", "mean", "range", "deviation", "gap", "share"))])
 
 
-@query("""WITH h AS (SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % 40),
-s AS (SELECT qid, chunk_id, len(list_intersect(q, w)) / (len(q) + 1e-9) AS score FROM h) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+@query("""WITH b AS (SELECT item_id::VARCHAR AS qid, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS q FROM benchmark),
+d AS (SELECT doc_id::VARCHAR AS chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT qid, chunk_id, len(list_intersect(q, w)) / (len(q) + 1e-9) AS score FROM b, d) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
 def rerank_overlap(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
@@ -255,8 +256,7 @@ _LOCATED = "l AS (SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS documen
 def gold(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("snippet"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    pairs = F.broadcast(b).join(d, F.contains(d["text"], F.trim(b["snippet"])))
-    found = spans.located(pairs.select("qid", "document_id", "snippet"), d)
+    found = spans.located(spans.holders(b, d), d)
     return found.select("qid", "document_id", "char_start", "char_end", (F.col("qid").cast("long") % 2 + 1).cast("int").alias("grade"))
 
 
@@ -318,12 +318,12 @@ def edges_sequential(spark, sf_dir):
     return graph.sequential_edges(leaves(spark, sf_dir))
 
 
-_SIM = "x AS (SELECT a.chunk_id AS s, b.chunk_id AS t, list_cosine_similarity(a.e, b.e) AS c FROM l a JOIN l b ON a.chunk_id <> b.chunk_id), y AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, t) AS r FROM x) WHERE r <= 4 AND c > 0.3)"
+_SIM = "x AS (SELECT a.chunk_id AS s, b.chunk_id AS t, list_cosine_similarity(a.e, b.e) AS c FROM l a JOIN l b ON a.chunk_id <> b.chunk_id), y AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, t) AS r FROM x) WHERE r <= 16 AND c > 0.3)"
 
 
 @query(f"WITH {_L}, {_SIM} SELECT DISTINCT 'semantic' AS type, least(s, t) AS src, greatest(s, t) AS dst FROM y")
 def edges_semantic(spark, sf_dir):
-    return graph.semantic_edges(leaves(spark, sf_dir), 0.3, 4)
+    return graph.semantic_edges(leaves(spark, sf_dir), 0.3)
 
 
 @query(f"WITH {_L}, m AS (SELECT chunk_id, unnest(list_distinct(list_concat(list_transform(regexp_extract_all(content, '(?i)\\b(?:section|fig(?:ure)?|table|chapter|eq(?:uation)?)\\s+\\d+\\b'), lambda x: lower(x)), regexp_extract_all(content, '\\[\\d+\\]')))) AS k FROM l) SELECT DISTINCT 'xref' AS type, a.chunk_id AS src, b.chunk_id AS dst FROM m a JOIN m b ON a.k = b.k AND a.chunk_id < b.chunk_id")
@@ -358,7 +358,7 @@ def ppr_expand(spark, sf_dir):
     return graph.expanded(ranks, s, 5).select("qid", "chunk_id", "p")
 
 
-_NLI = "e AS (SELECT vec_id::VARCHAR AS src, ((vec_id * 7 + 3) % 500)::VARCHAR AS dst, CASE WHEN vec_id % 5 = 0 THEN 'contradiction' WHEN vec_id % 2 = 0 THEN 'entailment' ELSE 'elaboration' END AS label, 0.5::DOUBLE + (vec_id % 7) / 20.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id::VARCHAR, ((vec_id * 3 + 1) % 500)::VARCHAR, 'entailment', 0.4::DOUBLE + (vec_id % 11) / 25.0::DOUBLE FROM embeddings), s AS (SELECT DISTINCT src, dst, c FROM e WHERE label <> 'contradiction')"
+_NLI = "e AS (SELECT vec_id::VARCHAR AS src, ((vec_id * 7 + 3) % (SELECT count(*) FROM embeddings))::VARCHAR AS dst, CASE WHEN vec_id % 5 = 0 THEN 'contradiction' WHEN vec_id % 2 = 0 THEN 'entailment' ELSE 'elaboration' END AS label, 0.5::DOUBLE + (vec_id % 7) / 20.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id::VARCHAR, ((vec_id * 3 + 1) % (SELECT count(*) FROM embeddings))::VARCHAR, 'entailment', 0.4::DOUBLE + (vec_id % 11) / 25.0::DOUBLE FROM embeddings), s AS (SELECT DISTINCT src, dst, c FROM e WHERE label <> 'contradiction')"
 
 
 @query(f"""WITH {_NLI}, a AS (SELECT (vec_id // 50 % 3)::VARCHAR AS qid, [vec_id::VARCHAR] AS p, 1.0::DOUBLE AS w FROM embeddings WHERE vec_id % 50 = 0),
@@ -367,9 +367,9 @@ u AS (SELECT qid, array_to_string(p, '>') AS chain, round(w, 9) AS score FROM (F
 def entailment_chains(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 5 == 0, "contradiction").when(F.col("vec_id") % 2 == 0, "entailment").otherwise("elaboration")
-    s = lambda c: c.cast("string")
-    one = e.select(s(F.col("vec_id")).alias("src"), s((F.col("vec_id") * 7 + 3) % 500).alias("dst"), label.alias("label"), (0.5 + (F.col("vec_id") % 7) / 20.0).alias("confidence"))
-    two = e.select(s(F.col("vec_id")), s((F.col("vec_id") * 3 + 1) % 500), F.lit("entailment"), 0.4 + (F.col("vec_id") % 11) / 25.0)
+    s, n = lambda c: c.cast("string"), e.count()
+    one = e.select(s(F.col("vec_id")).alias("src"), s((F.col("vec_id") * 7 + 3) % n).alias("dst"), label.alias("label"), (0.5 + (F.col("vec_id") % 7) / 20.0).alias("confidence"))
+    two = e.select(s(F.col("vec_id")), s((F.col("vec_id") * 3 + 1) % n), F.lit("entailment"), 0.4 + (F.col("vec_id") % 11) / 25.0)
     edges = one.union(two).where("label <> 'contradiction'").withColumn("label", F.lit("entailment")).distinct()
     seeds = e.where("vec_id % 50 = 0").select(s(F.floor(F.col("vec_id") / 50) % 3).alias("qid"), s(F.col("vec_id")).alias("chunk_id"))
     found = graph.entailment_chains(edges, seeds, top_k=10_000).withColumn("score", F.round("score", 9)).drop("rank")
@@ -629,10 +629,10 @@ def node_upsert(spark, sf_dir):
     return N.upserted(old, new)
 
 
-@query("WITH w AS (SELECT vec_id AS pos, ((vec_id * 37) % 700)::VARCHAR AS chunk_id FROM embeddings) SELECT w.pos, w.chunk_id, e.label FROM w JOIN embeddings e ON e.vec_id::VARCHAR = w.chunk_id")
+@query("WITH w AS (SELECT vec_id AS pos, ((vec_id * 37) % (SELECT 2 * count(*) FROM embeddings))::VARCHAR AS chunk_id FROM embeddings) SELECT w.pos, w.chunk_id, e.label FROM w JOIN embeddings e ON e.vec_id::VARCHAR = w.chunk_id")
 def nodes_by_id(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    wanted = e.select(F.col("vec_id").alias("pos"), ((F.col("vec_id") * 37) % 700).cast("string").alias("chunk_id"))
+    wanted = e.select(F.col("vec_id").alias("pos"), ((F.col("vec_id") * 37) % (2 * e.count())).cast("string").alias("chunk_id"))
     return N.by_ids(e.select(F.col("vec_id").cast("string").alias("chunk_id"), "label"), wanted)
 
 
