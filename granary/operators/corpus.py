@@ -166,3 +166,46 @@ def merged_batches(batches: list[DataFrame], threshold: float = 0.93, seed: int
     kept = near_duplicate_mask(placed.select(F.col("qid").alias("chunk_id"), "position", "embedding"), threshold).where("kept")
     one = placed.join(kept.select(F.col("chunk_id").alias("qid")), "qid", "left_semi").drop("__batch", "position")
     return with_split(one.drop("split") if "split" in one.columns else one, collection_splits(one, seed=seed))
+
+
+def evaluation_set(questions: DataFrame, chunks: DataFrame, least: float = 0.5, split: str | None = None, mapped_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, passages, judgements) to evaluate retrieval with, from questions with gold spans and the chunks of their documents.
+
+    ``questions`` has qid, question, answer, type, split and gold_spans (document_id, char_start, char_end and perhaps grade, 1 where
+    null); ``chunks`` has chunk_id, document_id, content, char_start and char_end. A chunk is judged by the best span of which it
+    holds ``least``. Of a split, or of all; with ``mapped_only`` questions without a judged chunk go.
+    """
+    from granary.operators.spans import judged_chunks
+
+    mine = questions if split is None else questions.where(F.col("split") == split)
+    spans = mine.select("qid", F.explode("gold_spans").alias("g")).select("qid", "g.*")
+    spans = spans.withColumn("grade", F.coalesce("grade", F.lit(1)) if "grade" in spans.columns else F.lit(1))
+    judged = judged_chunks(spans, chunks.select("chunk_id", "document_id", "char_start", "char_end"), least)
+    asked = mine.select("qid", F.col("question").alias("query"), F.array("answer").alias("gold"), "type", F.coalesce("split", F.lit("test")).alias("split"))
+    if mapped_only:
+        asked = asked.join(judged.select("qid").distinct(), "qid", "left_semi")
+    return asked, chunks.select("chunk_id", "document_id", "content"), judged
+
+
+def from_manifest(questions: DataFrame, manifest: DataFrame, texts: DataFrame, least: float = 0.5, **targets) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``evaluation_set`` of released questions: the documents that they name and a manifest (document_id, filename) knows are cut into chunks.
+
+    ``texts`` has document_id and text, from a cache or a source. Questions keep only if a chunk holds a span of theirs.
+    """
+    from granary.operators.chunking import chunked
+
+    named = questions.select(F.explode("gold_spans").alias("g")).select(F.col("g.document_id").alias("document_id")).distinct()
+    known = manifest.select("document_id", "filename").join(named, "document_id", "left_semi").join(texts.select("document_id", "text"), "document_id")
+    return evaluation_set(questions, chunked(known.where("text is not null").withColumn("char_start", F.lit(0)), **targets), least, mapped_only=True)
+
+
+def assembled(collections: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
+    """(collection_id, doc_id, ...): members of collections (collection_id, doc_id) with their documents' columns; collections of under ``least`` documents go."""
+    held = collections.select("collection_id", "doc_id").distinct().join(docs, "doc_id")
+    several = held.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("collection_id")
+    return held.join(several, "collection_id", "left_semi")
+
+
+def manifest(docs: DataFrame) -> DataFrame:
+    """(doc_id, filename, n_chars, content_sha256) of documents (doc_id, filename, text): what ``verified`` and ``drifted`` compare with."""
+    return docs.select("doc_id", "filename", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))

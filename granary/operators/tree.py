@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import membership_hash
 from granary.functions.vectors import cosine
+from granary.operators.lineage import cut
 from granary.operators.search import best_occurrences, knn, ranked, within_budget
 
 CORPUS = "__corpus__"
@@ -129,7 +130,7 @@ def hierarchy(leaves: DataFrame, summarize: Callable, embed: Callable, max_level
             F.concat_ws(":", "document_id", F.lit(f"L{level}"), "cluster").alias("chunk_id"), "document_id", F.col("cluster").alias("chunk_index"), text.alias("content"),
             F.lit(level).alias("level"), F.transform("m", lambda x: x["chunk_id"]).alias("child_ids"),
         )
-        at = made.withColumn("embedding", embed(F.col("content"))).select(*base.columns).persist()
+        at = cut(made.withColumn("embedding", embed(F.col("content"))).select(*base.columns))
         if at.isEmpty():
             break
         every = every.unionByName(at)
@@ -143,7 +144,10 @@ def top_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def corpus_tier(nodes: DataFrame, summarize: Callable, embed: Callable, existing: DataFrame | None = None, **options) -> DataFrame:
-    """Summary nodes over the documents' top nodes; none with under two documents or four nodes. Clusters that exist already aren't made again."""
+    """Summary nodes over the documents' top nodes; none with under two documents or four nodes.
+
+    A cluster is named by its members. One that ``existing`` nodes hold isn't summarized again: its node is given back as it is.
+    """
     top = top_nodes(nodes.where(~F.startswith("chunk_id", F.lit(CORPUS))))
     sizes = top.agg(F.count_distinct("document_id").alias("docs"), F.count(F.lit(1)).alias("n"), F.max("level").alias("level")).first()
     if sizes["docs"] < 2 or sizes["n"] < 4:
@@ -152,10 +156,12 @@ def corpus_tier(nodes: DataFrame, summarize: Callable, embed: Callable, existing
     gathered = found.join(top.select("chunk_id", "content"), "chunk_id").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("m"))
     ids = F.transform("m", lambda x: x["chunk_id"])
     named = gathered.select(F.concat(F.lit(CORPUS + ":"), membership_hash(ids)).alias("chunk_id"), F.col("cluster").alias("chunk_index"), ids.alias("child_ids"), F.transform("m", lambda x: x["content"]).alias("texts"))
+    every = named
     if existing is not None:
         named = named.join(existing.select("chunk_id"), "chunk_id", "left_anti")
     made = named.withColumn("content", summarize(F.col("texts"))).withColumn("embedding", embed(F.col("content")))
-    return made.select("chunk_id", F.lit(CORPUS).alias("document_id"), "chunk_index", "content", "embedding", F.lit(sizes["level"] + 1).cast("int").alias("level"), "child_ids")
+    out = made.select("chunk_id", F.lit(CORPUS).alias("document_id"), "chunk_index", "content", "embedding", F.lit(sizes["level"] + 1).cast("int").alias("level"), "child_ids")
+    return out if existing is None else out.unionByName(existing.select(*out.columns).join(every.select("chunk_id"), "chunk_id", "left_semi"))
 
 
 def _described(hits: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,7 +184,8 @@ def traversed(nodes: DataFrame, queries: DataFrame, k: int, budget: int = 2000,
         near = _described(knn(nodes.where("level = 0"), queries, 3 * k, metric=metric).drop("rank"), nodes)
         return within_budget(best_occurrences(near), budget, F.col("content")).drop("used")
     vectors = nodes.select("chunk_id", "embedding", "level", "document_id", "content", "child_ids")
-    frontier = _described(knn(nodes.where(F.col("level") == start), queries, fetch, metric=metric), nodes).select("qid", "chunk_id", "score", "level", "document_id", "content", "child_ids").persist()
+    frontier = _described(knn(nodes.where(F.col("level") == start), queries, fetch, metric=metric), nodes).select("qid", "chunk_id", "score", "level", "document_id", "content", "child_ids")
+    frontier = cut(frontier)
     out = frontier
     for level in range(start, 0, -1):
         children = frontier.select("qid", F.explode("child_ids").alias("chunk_id"))
@@ -188,6 +195,6 @@ def traversed(nodes: DataFrame, queries: DataFrame, k: int, budget: int = 2000,
         childless = queries.select("qid", "embedding").join(children.select("qid").distinct(), "qid", "left_anti")
         flat = _described(knn(nodes.where(F.col("level") == level - 1), childless, fetch, metric=metric), nodes)
         columns = ("qid", "chunk_id", "score", "level", "document_id", "content", "child_ids")
-        frontier = ranked_.select(*columns).unionByName(flat.select(*columns)).persist()
+        frontier = cut(ranked_.select(*columns).unionByName(flat.select(*columns)))
         out = out.unionByName(frontier)
     return within_budget(best_occurrences(out), budget, F.col("content")).drop("used")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions import models
@@ -36,6 +37,22 @@ def index(sections: DataFrame, cfg: Pipeline, embed: Callable = models.embed, su
     return nodes
 
 
+def over_flat(nodes: DataFrame, cfg: Pipeline, embed: Callable = models.embed, summarize: Callable = models.summarize) -> DataFrame:
+    """``nodes``, leaves of a flat corpus, and the summaries over them; ``nodes`` as they are where they hold summaries already.
+
+    A leaf's document is what stands before the last colon of its id, and leaves follow each other by their ids.
+    """
+    if not nodes.where("level > 0").isEmpty():
+        return nodes
+    h = cfg.raptor
+    document = F.regexp_replace("chunk_id", r":[^:]*$", "")
+    place = F.row_number().over(W.partitionBy("document_id").orderBy("chunk_id")) - 1
+    base = nodes.withColumn("document_id", document).withColumn("chunk_index", place.cast("int"))
+    climbed = tree.hierarchy(base, summarize, embed, h.max_levels, h.min_nodes_for_level, **options(cfg))
+    out = nodes.unionByName(climbed.where("level > 0"), allowMissingColumns=True)
+    return out.unionByName(tree.corpus_tier(climbed, summarize, embed, least=h.min_nodes_for_level, **options(cfg)), allowMissingColumns=True) if h.cross_doc else out
+
+
 def passages(corpus: DataFrame, embed: Callable = models.embed) -> DataFrame:
     """(chunk_id, content) passages as leaves of their own documents."""
     return corpus.select("chunk_id", F.col("chunk_id").alias("document_id"), F.lit(0).alias("chunk_index"), "content", embed(F.col("content")).alias("embedding"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("child_ids"))

@@ -231,6 +231,25 @@ def egr_grid(spark, sf_dir):
     return decide.entropy_thresholds(h).select(*[F.round(c, _R).alias(c) for c in ("tau_low", "tau_high", "agreement")])
 
 
+@query(f"""WITH {_H}, p AS (SELECT CASE WHEN strategy = 'hyde' THEN 'dphf' ELSE strategy END AS l, entropy AS v FROM h), g AS (SELECT l, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM p GROUP BY l),
+r AS (SELECT sum(n * (m - (SELECT avg(v) FROM p)) ** 2) / sum(w) AS ratio FROM g)
+SELECT count(*) AS n, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS p25, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, round(max(v), 6) AS high, round(stddev_pop(v), 6) AS deviation, round((SELECT ratio FROM r), 6) AS ratio FROM p""")
+def router_dispersion(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    h = e.select((F.col("embedding")[0].cast("double") * 10).alias("value"), F.when(F.col("label") % 3 == 0, "semantic").when(F.col("label") % 3 == 1, "dphf").otherwise("step_back").alias("label"))
+    return stats.dispersion(h).select("n", *[F.round(c, _R).alias(c) for c in ("low", "p25", "median", "p75", "high", "deviation", "ratio")])
+
+
+@query("""WITH t AS (SELECT vec_id, CASE label % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'dphf' ELSE 'step_back' END AS s FROM embeddings), d AS (SELECT 'egr' AS router, vec_id, CASE WHEN vec_id % 4 = 0 THEN 'semantic' ELSE 'dphf' END AS s FROM embeddings WHERE vec_id % 7 > 0 UNION ALL SELECT 'keyword', vec_id, 'step_back' FROM embeddings)
+SELECT router, round(avg(coalesce((d.s = t.s)::INTEGER, 0)), 6) AS agreement FROM (SELECT DISTINCT router FROM d) r CROSS JOIN t LEFT JOIN d USING (router, vec_id) GROUP BY router UNION ALL SELECT 'commonest', round((SELECT max(n) FROM (SELECT count(*) AS n FROM t GROUP BY s)) / count(*), 6) FROM t""")
+def router_agreement(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qid = F.col("vec_id").cast("string").alias("qid")
+    truth = e.select(qid, F.when(F.col("label") % 3 == 0, "semantic").when(F.col("label") % 3 == 1, "dphf").otherwise("step_back").alias("strategy"))
+    egr = e.where("vec_id % 7 > 0").select(F.lit("egr").alias("router"), qid, F.when(F.col("vec_id") % 4 == 0, "semantic").otherwise("dphf").alias("strategy"))
+    return stats.agreements(egr.union(e.select(F.lit("keyword"), qid, F.lit("step_back"))), truth).select("router", F.round("agreement", _R).alias("agreement"))
+
+
 # --- chunks and spans
 
 
@@ -285,6 +304,28 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunked(d).select("chunk_id", "document_id", "chunk_index", "char_start", "char_end", "language")
 
 
+def _asked_spans(spark, sf_dir) -> DataFrame:
+    """Benchmark items as questions whose gold spans are where documents hold them."""
+    g = gold(spark, sf_dir).groupBy("qid").agg(F.collect_list(F.struct("document_id", "char_start", "char_end", "grade")).alias("gold_spans"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), F.lit("yes").alias("answer"), F.lit("factual").alias("type"), F.when(F.col("item_id") % 3 == 0, "dev").alias("split"))
+    return b.join(g, "qid", "left").withColumn("gold_spans", F.coalesce("gold_spans", F.array().cast(g.schema["gold_spans"].dataType)))
+
+
+@query(f"""WITH {_LOCATED}, {_W}, j AS (SELECT qid, chunk_id, max(qid::BIGINT % 2 + 1) AS grade FROM l JOIN w USING (document_id)
+WHERE greatest(0, least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start)) >= 0.5 * greatest(1, l.char_end - l.char_start) AND l.char_start < w.char_end AND w.char_start < l.char_end GROUP BY qid, chunk_id)
+SELECT b.item_id::VARCHAR AS qid, CASE WHEN item_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, count(j.chunk_id) AS n_judged, coalesce(sum(grade), 0)::BIGINT AS grades FROM benchmark b JOIN j ON j.qid = b.item_id::VARCHAR GROUP BY ALL""")
+def evaluation_set(spark, sf_dir):
+    asked, _, judged = corpus.evaluation_set(_asked_spans(spark, sf_dir), windows(spark, sf_dir), mapped_only=True)
+    return asked.join(judged, "qid").groupBy("qid", "split").agg(F.count(F.lit(1)).alias("n_judged"), F.sum("grade").cast("long").alias("grades"))
+
+
+@query()
+def dataset_from_manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("a.txt").alias("filename"), "text")
+    asked, passages, judged = corpus.from_manifest(_asked_spans(spark, sf_dir), d.select("document_id", "filename"), d.select("document_id", "text"))
+    return judged.join(asked.select("qid", "split"), "qid").join(passages.select("chunk_id", "document_id"), "chunk_id").select("qid", "split", "document_id", "chunk_id", F.col("grade").cast("long").alias("grade"))
+
+
 _STATS = "s AS (SELECT label::VARCHAR AS document_id, vec_id::VARCHAR AS chunk_id, (vec_id // 10)::INTEGER AS chunk_index, abs(embedding[1])::DOUBLE * 4 AS hit_rate, abs(embedding[2])::DOUBLE * 4 AS prec, abs(embedding[3])::DOUBLE * 4 AS ent, abs(embedding[4])::DOUBLE AS util FROM embeddings)"
 
 
@@ -591,6 +632,18 @@ def question_documents(spark, sf_dir):
     return corpus.chosen_documents(d.select(F.col("source").alias("collection_id"), F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 5 == 1, "code").otherwise(F.col("lang")).alias("modality"), F.col("doc_id").alias("position")))
 
 
+@query("""WITH c AS (SELECT DISTINCT source || '-' || (doc_id % 300) AS c, doc_id, lang FROM documents WHERE source IS NOT NULL) SELECT c AS collection_id, doc_id, lang FROM c WHERE c IN (SELECT c FROM c GROUP BY c HAVING count(*) >= 2)""")
+def collections_assembled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    named = d.select(F.concat_ws("-", "source", (F.col("doc_id") % 300).cast("string")).alias("collection_id"), "doc_id")
+    return corpus.assembled(named, d.select("doc_id", "lang"))
+
+
+@query("SELECT doc_id, 'f-' || doc_id || '.txt' AS filename, length(text)::BIGINT AS n_chars, sha256(text) AS content_sha256 FROM documents")
+def manifest_rows(spark, sf_dir):
+    return corpus.manifest(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f-"), F.col("doc_id"), F.lit(".txt")).alias("filename"), "text"))
+
+
 @query("""WITH m AS (SELECT doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS sha FROM documents), t AS (SELECT doc_id, sha256(text) AS sha FROM documents)
 SELECT CASE WHEN m.doc_id IS NULL THEN 'extra' WHEN t.doc_id IS NULL THEN 'missing' WHEN m.sha = t.sha THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n FROM m FULL JOIN t ON m.doc_id = t.doc_id GROUP BY 1""")
 def manifest_verify(spark, sf_dir):
@@ -652,6 +705,13 @@ def new_entities(spark, sf_dir):
     return first_mentions(table(spark, sf_dir, "conversations"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(text, '\\s*\\S+(?:\\s+$)?|^\\s+$') AS t FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, (i - 1)::INTEGER AS n, t[i] AS token FROM t, unnest(range(1, len(t) + 1)) AS u(i)""")
+def token_stream(spark, sf_dir):
+    from granary.streaming.prefetch import token_stream as tokens
+
+    return tokens(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def prefetch_hits(spark, sf_dir):
     from granary.streaming.prefetch import batch_hits
@@ -666,6 +726,14 @@ def page_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
 
 
+@query()
+def facet_sweep(spark, sf_dir):
+    run, qrels = _run(spark, sf_dir)
+    facets = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    c = run.join(vectors(spark, sf_dir).select("chunk_id", facets.alias("relevance")), "chunk_id")
+    return decide.facet_sweep(c, qrels, 10).select("weight", F.round("ndcg", _R).alias("ndcg"), F.round("recall", _R).alias("recall"))
+
+
 @query()
 def retrieval_pipeline(spark, sf_dir):
     """The flagship: the whole pipeline over documents' windows with offline models."""

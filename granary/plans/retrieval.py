@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from granary.functions import models
 from granary.functions.text import modality
 from granary.operators import decide, graph, search, spans, tree
-from granary.plans.config import Pipeline
+from granary.operators.lineage import cut
+from granary.plans.config import Pipeline, with_values
+from granary.streaming.prefetch import lookups
 
 #: Prompts are data: offline they only name what a stand-in model is asked for.
 PROMPTS = {
@@ -57,12 +59,19 @@ def _as_hits(found: DataFrame, nodes: DataFrame, source: str = "bi_encoder") ->
     return found.select("qid", "chunk_id", "score").join(known, "chunk_id").withColumn("score_source", F.lit(source)).select(*HIT)
 
 
-def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame | None = None, forced: str | None = None, edges: DataFrame | None = None, use: Models | None = None) -> Result:
+def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame | None = None, forced: str | None = None, edges: DataFrame | None = None, use: Models | None = None, prefetched: tuple[DataFrame, DataFrame] | None = None, router: Callable | None = None) -> Result:
     """Route, retrieve, merge with the hierarchy, expand over the graph, rerank, correct and widen, for all queries at once.
 
     ``nodes`` is the node table, ``queries`` has qid and query (and embedding, else the model makes it). ``trace`` has one row a
     query and stage with the number of hits behind it. Queries without any hit are in decisions and outcomes all the same.
+
+    ``prefetched`` is a buffer and its results (see streaming.prefetch): with prefetching on, a query that is near enough to an
+    entry of its conversation (conv_id, 0 where queries have none) is served that entry's results, an empty list too, and goes
+    through no stage. ``router`` decides (qid, features) rows where the configuration asks for a learned or a compositional
+    one; without it these decide as unfitted ones do.
     """
+    if cfg.prefetch.enabled and prefetched is not None:
+        return _with_prefetch(nodes, queries, cfg, prefetched, oracle=oracle, forced=forced, edges=edges, use=use, router=router)
     use = use or Models()
     nodes = _columns(nodes)
     leaves = nodes.where("level = 0")
@@ -81,7 +90,10 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
         decisions = decide.keyword_route(queries).withColumn("is_multi_hop", F.lit(False))
     elif cfg.router.variant == "oracle":
         decisions = (decide.oracle_route(queries, oracle) if oracle is not None else queries.select("qid", F.lit("semantic").alias("strategy"))).withColumn("is_multi_hop", F.lit(False))
-    elif cfg.router.variant in ("learned", "compositional"):  # not fitted here
+    elif cfg.router.variant in ("learned", "compositional") and router is not None:
+        near = search.knn(leaves, queries, cfg.router.egr_k, metric=cfg.metric)
+        decisions = router(decide.router_features(queries, near)).select("qid", "strategy").withColumn("is_multi_hop", F.lit(False))
+    elif cfg.router.variant in ("learned", "compositional"):
         decisions = queries.select("qid", F.lit("semantic" if cfg.router.variant == "learned" else "dphf").alias("strategy"), F.lit(False).alias("is_multi_hop"))
     else:
         near = search.knn(leaves, queries, cfg.router.egr_k, metric=cfg.metric)
@@ -126,7 +138,7 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
         extra = _as_hits(climb(pool, queries, fetch, cfg.raptor.retrieval_token_budget, cfg.raptor.traversal_top_k, metric=cfg.metric), nodes)
         both = search.ranked(hits).withColumn("path", F.lit(0)).unionByName(search.ranked(extra).withColumn("path", F.lit(1)))
         hits = search.merged(both).select(*HIT)
-    hits = hits.persist()
+    hits = cut(hits)
     seen("retrieve", hits)
 
     # graph
@@ -142,7 +154,7 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
                 chains = graph.entailment_chains(judged, hops).select("qid", F.explode("path").alias("chunk_id"))
                 fresh = fresh.union(chains).distinct().join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
             more = _as_hits(fresh.withColumn("score", F.lit(0.0)), nodes, "ppr")
-            hits = hits.unionByName(more).persist()
+            hits = cut(hits.unionByName(more))
             seen("graph_expand", hits)
         if not cfg.rerank.enabled:
             refined = graph.refined(leaves, edges, cfg.graph.gnn_layers)
@@ -153,7 +165,7 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
     # rerank or cut
     if cfg.rerank.enabled:
         scored = hits.join(queries.select("qid", "query"), "qid").withColumn("score", use.rerank(F.col("query"), F.col("content"))).withColumn("score_source", F.lit("cross_encoder"))
-        hits = search.ranked(scored.select(*HIT), k).drop("rank").persist()
+        hits = cut(search.ranked(scored.select(*HIT), k).drop("rank"))
         seen("rerank", hits)
     else:
         hits = search.ranked(hits, k).drop("rank")
@@ -169,16 +181,23 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
             answer = use.generate(PROMPTS["judge"], F.array_join(F.transform("t", lambda x: x["c"]), "\n"))
             judged, kept = decide.judged_correction(top.select("qid", answer.alias("answer")), cfg.correction.crag_upper, cfg.correction.crag_lower).select("qid", "confidence"), hits
         judged = queries.select("qid", "query").join(judged, "qid", "left").withColumn("confidence", F.coalesce("confidence", F.lit("rewrite"))).persist()
-        bad = judged.where("confidence = 'rewrite'")
-        if cfg.correction.enable_query_rewrite:
-            again = search.knn(leaves, bad.select("qid", use.embed(use.generate(PROMPTS["rewrite"], F.col("query"))).alias("embedding")), max(k, 5), metric=cfg.metric)
-            kept = kept.join(bad.select("qid"), "qid", "left_anti").unionByName(_as_hits(again, nodes))
-            settled = "medium"
-        else:
-            kept = kept.join(bad.select("qid"), "qid", "left_anti").unionByName(hits.join(bad.select("qid"), "qid", "left_semi"))
-            settled = "low"
-        outcomes = judged.select("qid", F.when(F.col("confidence") == "rewrite", settled).otherwise(F.col("confidence")).alias("confidence"))
-        hits = kept.persist()
+        some = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        bad = judged.where("confidence = 'rewrite'").join(some, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        sscc = cfg.correction.variant == "sscc"
+        tried = F.lit(cfg.correction.enable_query_rewrite) if sscc else F.lit(cfg.correction.enable_query_rewrite) | (F.col("n") == 0)
+        bad = bad.withColumn("again", F.when(tried, F.trim(use.generate(PROMPTS["rewrite"], F.col("query"))))).persist()
+        asked_again = bad.where("again <> ''").select("qid", use.embed(F.col("again")).alias("embedding"))
+        found_again = search.knn(leaves, asked_again, max(k, 5), metric=cfg.metric).join(bad.select("qid", "n"), "qid").where(F.col("rank") <= F.greatest(F.col("n"), F.lit(5)))
+        found_again = cut(_as_hits(found_again, nodes))
+        got = found_again.select("qid").distinct().withColumn("got", F.lit(True))
+        bad = bad.join(got, "qid", "left")
+        # what a retry finds replaces the hits; where it finds nothing, or there is none, they stay
+        kept = kept.join(bad.select("qid"), "qid", "left_anti").unionByName(found_again).unionByName(hits.join(bad.where("got is null").select("qid"), "qid", "left_semi"))
+        nothing = F.when(F.col("n") == 0, "none").otherwise("low")
+        failed = F.when(F.col("again") == "", nothing if sscc else F.lit("low")).when(F.col("again").isNull(), "low").otherwise("none" if sscc else nothing)
+        settled = bad.select("qid", F.when(F.col("got"), "medium").otherwise(failed).alias("settled"))
+        outcomes = judged.join(settled, "qid", "left").select("qid", F.coalesce("settled", "confidence").alias("confidence"))
+        hits = cut(kept)
         seen("correct", hits)
 
     # widen
@@ -191,6 +210,24 @@ def run(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, oracle: DataFrame |
     return Result(final, decisions, outcomes, rows)
 
 
+def _with_prefetch(nodes: DataFrame, queries: DataFrame, cfg: Pipeline, prefetched: tuple[DataFrame, DataFrame], **options) -> Result:
+    """Queries that the buffer serves, and the rest through the pipeline."""
+    use = options["use"] or Models()
+    buffer, results = prefetched
+    if "embedding" not in queries.columns:
+        queries = queries.withColumn("embedding", use.embed(F.col("query")))
+    queries = (queries if "conv_id" in queries.columns else queries.withColumn("conv_id", F.lit(0).cast("long"))).persist()
+    served = lookups(buffer, queries, cfg.prefetch.hit_cosine_threshold).where("hit").select("conv_id", "qid", "entity").persist()
+    found = served.join(results, ["conv_id", "entity"]).where(F.col("rank") <= cfg.top_k)
+    hits = _as_hits(found, _columns(nodes))
+    hits = search.ranked(hits).withColumn("modality", modality(F.col("level"), F.col("filename"), F.col("language")))
+    counts = served.select("qid").join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left")
+    trace = counts.select("qid", F.lit(0).alias("seq"), F.lit("prefetch_hit").alias("stage"), F.coalesce("n", F.lit(0)).alias("n"))
+    rest = run(nodes, queries.join(served.select("qid"), "qid", "left_anti"), with_values(cfg, {"prefetch.enabled": False}), **options)
+    outcomes = rest.outcomes.unionByName(served.select("qid", F.lit(None).cast("string").alias("confidence")))
+    return Result(rest.hits.unionByName(hits), rest.decisions, outcomes, rest.trace.unionByName(trace))
+
+
 def ablations(nodes: DataFrame, queries: DataFrame, names: tuple[str, ...], base: Pipeline | None = None, **options) -> DataFrame:
     """(config, qid, chunk_id, score) of named variants over one query set."""
     from granary.plans.config import apply

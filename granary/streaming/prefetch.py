@@ -47,6 +47,36 @@ def lookups(buffer: DataFrame, queries: DataFrame, threshold: float = 0.8) -> Da
     return best.withColumn("hit", F.coalesce(F.col("sim") >= threshold, F.lit(False)))
 
 
+def token_stream(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, n, token): assistants' turns token by token, streamed or not; joined in order they are the text.
+
+    A token is a word with the white space before it; the last one also holds what follows it.
+    """
+    text = turns.where("role = 'assistant'").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\s*\S+(?:\s+$)?|^\s+$"), F.lit(0)).alias("t"))
+    return text.select("conv_id", "turn", F.posexplode("t").alias("n", "token"))
+
+
+def replayed(turns: DataFrame, cache: DataFrame) -> DataFrame:
+    """``token_stream`` where a text that ``cache`` (conv_id, turn, text) holds comes as one token."""
+    held = cache.select("conv_id", "turn", F.lit(0).alias("n"), F.col("text").alias("token"))
+    rest = turns.join(cache.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    return token_stream(rest).unionByName(held)
+
+
+def prefetched(turns: DataFrame, leaves: DataFrame, k: int, embed=models.embed, capacity: int = CAPACITY, metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+    """(buffer, results): what the entities of a conversation fetched before they are asked for.
+
+    The buffer has conv_id, entity, place and embedding, results conv_id, entity, chunk_id, score and rank. An entity that fetches
+    nothing is in the buffer all the same: a query that meets it is served an empty list.
+    """
+    from granary.operators.search import knn
+
+    buffer = buffered(turns, capacity).withColumn("embedding", embed(F.col("entity")))
+    asked = buffer.select(F.col("entity").alias("qid"), "embedding").dropDuplicates(["qid"])
+    found = knn(leaves, asked, k, metric=metric).select(F.col("qid").alias("entity"), "chunk_id", "score", "rank")
+    return buffer, buffer.select("conv_id", "entity").join(found, "entity")
+
+
 def hit_rate(found: DataFrame) -> DataFrame:
     return found.agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
