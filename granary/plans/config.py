@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
+from functools import partial
+
+
+# Names and defaults of all settings.
 
 
 @dataclass(frozen=True)
@@ -122,85 +125,66 @@ class Pipeline:
     expansion: Expansion = field(default_factory=Expansion)
 
 
-Change = Callable[[Pipeline], Pipeline]
-
-
 def with_values(cfg: Pipeline, values: dict[str, object]) -> Pipeline:
-    """A copy with values at dotted paths; unknown names raise."""
+    """A copy with values at dotted paths, one added to a tuple at a path that ends in ``+``, one taken out at ``-``; unknown names raise."""
     for path, value in values.items():
-        *parts, leaf = path.split(".")
-        if not parts:
-            cfg = replace(cfg, **{leaf: value})
-        else:
-            section = getattr(cfg, parts[0])
-            cfg = replace(cfg, **{parts[0]: replace(section, **{leaf: value})})
+        section, _, name = path.rstrip("+-").rpartition(".")
+        held = getattr(cfg, section) if section else cfg
+        if path[-1] in "+-":
+            others = tuple(x for x in getattr(held, name) if x != value)
+            value = getattr(held, name) if path[-1] == "+" and len(others) < len(getattr(held, name)) else (*others, value) if path[-1] == "+" else others
+        changed = replace(held, **{name: value})
+        cfg = replace(cfg, **{section: changed}) if section else changed
     return cfg
 
 
-def setting(**values: object) -> Change:
-    return lambda cfg: with_values(cfg, {k.replace("__", "."): v for k, v in values.items()})
-
-
-def without_edge(kind: str) -> Change:
-    return lambda cfg: with_values(cfg, {"graph.edges": tuple(e for e in cfg.graph.edges if e != kind)})
-
-
-def full(cfg: Pipeline) -> Pipeline:
-    """Everything on."""
-    edges = cfg.graph.edges if "nli" in cfg.graph.edges else (*cfg.graph.edges, "nli")
-    return with_values(cfg, {
-        "router.variant": "egr", "fusion.variant": "rrf", "fusion.hyde_expansion": "modality", "correction.variant": "sscc", "graph.enabled": True, "graph.edges": edges,
-        "raptor.enabled": True, "raptor.cross_doc": True, "prefetch.enabled": True, "raac.enabled": True,
-    })
-
-
-def baseline(cfg: Pipeline) -> Pipeline:
-    """Keyword routing, merged lists, judged correction, no graph."""
-    return with_values(cfg, {
-        "router.variant": "keyword", "fusion.variant": "merge_dedup", "correction.variant": "crag", "graph.enabled": False, "prefetch.enabled": False, "raac.enabled": False,
-    })
-
-
-def semantic_only(cfg: Pipeline) -> Pipeline:
-    """Dense search alone."""
-    return with_values(baseline(cfg), {"router.enabled": False, "rerank.enabled": False, "correction.enabled": False, "correction.variant": cfg.correction.variant, "raptor.enabled": False})
-
-
-#: Named variants, each on top of ``full``.
-ABLATIONS: dict[str, Change] = {
-    "full": full,
-    "baseline": baseline,
-    "semantic_only": semantic_only,
-    "router_keyword": setting(router__variant="keyword"),
-    "router_oracle": setting(router__variant="oracle"),
-    "router_learned": setting(router__variant="learned"),
-    "wo_dphf": setting(fusion__variant="single"),
-    "wo_hyde": setting(router__enabled=False),
-    "wo_modality_hyde": setting(fusion__hyde_expansion="none"),
-    "hyde_multi_prose": setting(fusion__hyde_expansion="multi_prose"),
-    "wo_sscc": setting(correction__variant="crag"),
-    "wo_crag": setting(correction__enabled=False),
-    "wo_rerank": setting(rerank__enabled=False),
-    "wo_graph": setting(graph__enabled=False),
-    "wo_graphsage": setting(graph__gnn_layers=0),
-    "graph_no_expand": setting(graph__ppr_expand=False),
-    "wo_nli_edges": without_edge("nli"),
-    "wo_semantic_edges": without_edge("semantic"),
-    "wo_ast_edges": without_edge("ast"),
-    "wo_raptor": setting(raptor__enabled=False),
-    "wo_cross_doc": setting(raptor__cross_doc=False),
-    "raptor_kmeans": setting(raptor__cluster_covariance="spherical"),
-    "wo_srp": setting(prefetch__enabled=False),
-    "wo_raac": setting(raac__enabled=False),
+# The named variants and what each sets. A path ends in ``+`` where a value is added to a tuple, in ``-`` where it is
+# taken out of it. FULL comes before every other variant; semantic_only sets what baseline does, too.
+FULL: dict[str, object] = {
+    "router.variant": "egr", "fusion.variant": "rrf", "fusion.hyde_expansion": "modality", "correction.variant": "sscc", "graph.enabled": True, "graph.edges+": "nli",
+    "raptor.enabled": True, "raptor.cross_doc": True, "prefetch.enabled": True, "raac.enabled": True,
+}
+_PLAIN: dict[str, object] = {"router.variant": "keyword", "fusion.variant": "merge_dedup", "graph.enabled": False, "prefetch.enabled": False, "raac.enabled": False}
+ABLATIONS: dict[str, dict[str, object]] = {
+    "full": FULL,
+    "baseline": _PLAIN | {"correction.variant": "crag"},
+    "semantic_only": _PLAIN | {"router.enabled": False, "rerank.enabled": False, "correction.enabled": False, "raptor.enabled": False},
+    "router_keyword": {"router.variant": "keyword"},
+    "router_oracle": {"router.variant": "oracle"},
+    "router_learned": {"router.variant": "learned"},
+    "wo_dphf": {"fusion.variant": "single"},
+    "wo_hyde": {"router.enabled": False},
+    "wo_modality_hyde": {"fusion.hyde_expansion": "none"},
+    "hyde_multi_prose": {"fusion.hyde_expansion": "multi_prose"},
+    "wo_sscc": {"correction.variant": "crag"},
+    "wo_crag": {"correction.enabled": False},
+    "wo_rerank": {"rerank.enabled": False},
+    "wo_graph": {"graph.enabled": False},
+    "wo_graphsage": {"graph.gnn_layers": 0},
+    "graph_no_expand": {"graph.ppr_expand": False},
+    "wo_nli_edges": {"graph.edges-": "nli"},
+    "wo_semantic_edges": {"graph.edges-": "semantic"},
+    "wo_ast_edges": {"graph.edges-": "ast"},
+    "wo_raptor": {"raptor.enabled": False},
+    "wo_cross_doc": {"raptor.cross_doc": False},
+    "raptor_kmeans": {"raptor.cluster_covariance": "spherical"},
+    "wo_srp": {"prefetch.enabled": False},
+    "wo_raac": {"raac.enabled": False},
 }
 
 
 def apply(name: str, base: Pipeline | None = None, reapply_full: bool = True) -> Pipeline:
-    """A named variant of a base; ``full`` goes first unless told otherwise, which undoes what the base switched off."""
+    """A named variant of a base; FULL goes first unless told otherwise, which undoes what the base switched off."""
     if name not in ABLATIONS:
         raise KeyError(f"no variant named {name!r}")
-    base = base or Pipeline()
-    return ABLATIONS[name](full(base) if reapply_full else base)
+    cfg = base or Pipeline()
+    for values in (FULL, ABLATIONS[name]) if reapply_full else (ABLATIONS[name],):
+        cfg = with_values(cfg, values)
+    return cfg
+
+
+#: Two variants on top of a base alone.
+baseline, semantic_only = (partial(lambda name, cfg: apply(name, cfg, reapply_full=False), name) for name in ("baseline", "semantic_only"))
 
 
 def dumps(cfg: Pipeline) -> str:
