@@ -181,7 +181,9 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at, n = np.unique(part, return_counts=True)
                 found.append((at.astype("<i4"), (n / whole).astype("<f4")))
             rows.append((code, b"".join(a.tobytes() for a, _ in found), b"".join(n.tobytes() for _, n in found)))
-        yield pd.DataFrame(rows, columns=["code", "places", "shares"])
+        out = pd.DataFrame(rows, columns=["code", "places", "shares"])
+        out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+        yield out
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], belief: np.ndarray) -> np.ndarray:
@@ -218,8 +220,9 @@ def score_quality(docs: DataFrame) -> DataFrame:
     counted = docs.select("text").mapInPandas(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     labels = fit_labels({int(r["code"]): int(r["n"]) for r in counted.collect()})
     few = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    train = docs.join(F.broadcast(few), "doc_id", "left_semi").select("text").mapInPandas(_examples, "code long, places binary, shares binary").limit(2 * TRAIN_ROWS).toPandas()
-    train = train.sort_values(["code", "places", "shares"])
+    seen = docs.join(F.broadcast(few), "doc_id", "left_semi").withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_examples, "doc_id long, code long, places binary, shares binary")
+    # rows that share an id are one example, the least, so that reruns agree and TRAIN_ROWS bounds what reaches the driver
+    train = seen.groupBy("doc_id").agg(F.min(F.struct("code", "places", "shares")).alias("x")).select("x.*").toPandas().sort_values(["code", "places", "shares"])
     rows = [(np.frombuffer(a, dtype="<i4").astype(np.int64), np.frombuffer(b, dtype="<f4").astype(float)) for a, b in zip(train["places"], train["shares"], strict=True)]
     weights = fit_scorer(rows, labels.posterior(train["code"].to_numpy(dtype=np.int64))).astype(np.float32)
 

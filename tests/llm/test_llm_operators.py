@@ -413,6 +413,49 @@ def test_quality_edges(odd, none):
     assert rows(quality.score_quality(none), "doc_id") == []
 
 
+def test_expectation_maximisation_equals_plain_loops():
+    rng = np.random.default_rng(31)
+    m = len(quality.LABELLERS)
+    patterns = {int(sum(rng.choice([quality.BAD, quality.GOOD, quality.GOOD, quality.GOOD, quality.ABSTAIN]) * 3**j for j in range(m))): int(rng.integers(1, 50)) for _ in range(60)}
+    vote = {c: [c // 3**j % 3 for j in range(m)] for c in patterns}
+    belief = {}
+    for c, v in vote.items():
+        bad = [x == quality.BAD for x in v]
+        kinds = [0.9 * b / max(1, sum(bad)) for b in bad]
+        belief[c] = [1 - sum(kinds), *kinds]
+    for _ in range(200):
+        mass = [sum(n * belief[c][k] for c, n in patterns.items()) for k in range(m + 1)]
+        prior = [(x + 0.5) / (sum(mass) + 0.5 * (m + 1)) for x in mass]
+        share = [[[0.5 + sum(n * belief[c][k] for c, n in patterns.items() if vote[c][j] == x) for x in (0, 1)] for k in range(m + 1)] for j in range(m)]
+        new = {}
+        for c, v in vote.items():
+            w = list(prior)
+            for k in range(m + 1):
+                for j in range(m):
+                    if v[j] != quality.ABSTAIN:
+                        w[k] *= share[j][k][v[j]] / sum(share[j][k])
+            new[c] = [x / sum(w) for x in w]
+        moved = max(abs(a - b) for c in patterns for a, b in zip(new[c], belief[c], strict=True))
+        if moved < 1e-9:
+            break
+        belief = new
+    codes = np.array(sorted(patterns))
+    assert np.allclose(quality.fit_labels(patterns).posterior(codes), [belief[c][0] for c in codes.tolist()], atol=1e-6)
+
+
+def test_quality_score_equals_plain_sums_and_reruns_agree(spark, docs):
+    weights = np.random.default_rng(32).normal(size=(2 << quality.BITS) + 1)
+    for text in (b"", b"One two, THREE 4!", b"a b c " * 50):
+        words = hashed_words([text])[0]
+        code = quality.votes(quality.facts(text, words))
+        one, runs, cast = quality.features(text, words, code)
+        want = weights[-1] + sum(float(weights[k]) for k in cast) + (np.mean([weights[k] for k in one]) if len(one) else 0) + (np.mean([weights[k] for k in runs]) if len(runs) else 0)
+        assert quality.raw_score(weights, text, words, code) == pytest.approx(want)
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    first, second = (sorted(rows(quality.score_quality(d), "doc_id", "score"), key=str) for d in (twice, twice.repartition(5)))
+    assert first == second
+
+
 def test_labeller_accuracies_are_recovered():
     """Bad documents show one fault or two, and labellers seldom accuse good ones."""
     rng = np.random.default_rng(6)
