@@ -51,7 +51,7 @@ def collection_splits(collections: DataFrame, fractions: tuple[float, float] = (
 
 def with_split(questions: DataFrame, splits: DataFrame) -> DataFrame:
     """Questions with their collection's split, test where it has none."""
-    return questions.join(F.broadcast(splits.select("collection_id", F.col("split").alias("__s"))), "collection_id", "left").withColumn("split", F.coalesce("__s", F.lit("test"))).drop("__s")
+    return questions.join(splits.select("collection_id", F.col("split").alias("__s")), "collection_id", "left").withColumn("split", F.coalesce("__s", F.lit("test"))).drop("__s")
 
 
 def of_split(questions: DataFrame, split: str) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Numbers drawn at once: the draws of a generator are the same however many are asked for at a time.
+DRAWS = 4_000_000
+
+
 def _resampled(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    step = max(1, 4_000_000 // max(1, len(values)))
-    index = rng.integers(0, len(values), size=(resamples, len(values))) if resamples * len(values) <= 20_000_000 else None
-    if index is not None:
-        return values[index].mean(axis=1)
+    step = max(1, DRAWS // max(1, len(values)))
     return np.concatenate([values[rng.integers(0, len(values), size=(min(step, resamples - k), len(values)))].mean(axis=1) for k in range(0, resamples, step)])
 
 
@@ -48,7 +49,7 @@ def paired_differences(scores: DataFrame, reference: str, key: str = "config", v
     """(config, qid, value): each other config's score minus the reference's, 0 where either is missing."""
     ref = scores.where(F.col(key) == reference).select("qid", F.col(value).alias("r"))
     others = scores.where(F.col(key) != reference)
-    grid = others.select(key).distinct().join(F.broadcast(ref), F.lit(True))
+    grid = ref.crossJoin(others.select(key).distinct())  # one row a configuration
     return grid.join(others, [key, "qid"], "left").select(key, "qid", (F.coalesce(value, F.lit(0.0)) - F.coalesce("r", F.lit(0.0))).alias(value))
 
 

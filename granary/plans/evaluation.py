@@ -15,7 +15,7 @@ def by_config(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(config, qid, ndcg, recall, success, rr) of runs (config, qid, chunk_id, score); a query that a config lacks scores 0."""
     configs = runs.select("config").distinct()
     grid = F.concat_ws("\u0001", "config", "qid")
-    named = configs.join(F.broadcast(qrels.select("qid", "chunk_id", "grade")), F.lit(True)).select(grid.alias("qid"), "chunk_id", "grade")
+    named = qrels.select("qid", "chunk_id", "grade").crossJoin(configs).select(grid.alias("qid"), "chunk_id", "grade")
     scored = metrics.ranking_metrics(runs.select(grid.alias("qid"), "chunk_id", "score"), named, k)
     parts = F.split("qid", "\u0001")
     return scored.withColumn("config", parts[0]).withColumn("qid", parts[1]).select("config", "qid", "ndcg", "recall", "success", "rr")

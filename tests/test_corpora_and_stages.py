@@ -25,6 +25,14 @@ def test_step_rules_equal_loops_under_ties(spark):
     assert stats.holm(df.where("false")).collect() == []
 
 
+def test_resamples_do_not_depend_on_how_many_are_drawn_at_once(monkeypatch):
+    values = np.random.default_rng(43).random(257)
+    whole = values[np.random.default_rng(7).integers(0, 257, size=(300, 257))].mean(axis=1)
+    for draws in (1, 257 * 7, 10**9):
+        monkeypatch.setattr(stats, "DRAWS", draws)
+        assert (stats._resampled(values, 300, 7) == whole).all()
+
+
 def test_cross_fit_equals_plain_ridge(spark):
     rng = np.random.default_rng(41)
     x = np.round(rng.normal(size=(60, 4)), 2)
